@@ -59,6 +59,11 @@ def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
     return usual.unionByName(_describe_hot(losses.join(hot, "run", "left_semi")))
 
 
+def runs_by_min(described: DataFrame) -> DataFrame:
+    """Worst runs first."""
+    return described.orderBy(F.col("min").desc(), "run")
+
+
 def _moments() -> list[Column]:
     return [
         F.count("loss").alias("n"), F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"),

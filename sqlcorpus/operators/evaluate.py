@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus.functions import sql_text
@@ -58,20 +61,24 @@ def same_result(expected: DataFrame, got: DataFrame) -> bool:
     return resultset_diff(expected, got).isEmpty()
 
 
-def leaderboard(scores: DataFrame, criteria: list[str]) -> DataFrame:
-    """One row per model: a column per criterion, their total and the rank by it."""
+def score_totals(scores: DataFrame, criteria: list[str]) -> DataFrame:
+    """One row per model: a column per criterion and their total."""
     wide = scores.groupBy("model").pivot("criterion", criteria).agg(F.sum("score"))
-    total = sum((F.coalesce(column(c), F.lit(0)) for c in criteria[1:]),
-                F.coalesce(column(criteria[0]), F.lit(0)))
-    return descending_rank(wide.withColumn("total", total), "total", "place").select(
+    points = [F.coalesce(column(c), F.lit(0)) for c in criteria]
+    return wide.withColumn("total", reduce(add, points))
+
+
+def leaderboard(scores: DataFrame, criteria: list[str]) -> DataFrame:
+    """The totals with each model's place."""
+    return descending_rank(score_totals(scores, criteria), "total", "place").select(
         "model", *map(column, criteria), "total", "place"
     )
 
 
-def score_vs_loss(board: DataFrame, summary: DataFrame) -> DataFrame:
+def score_vs_loss(totals: DataFrame, summary: DataFrame) -> DataFrame:
     """Totals beside losses; a model that was never trained here has no loss."""
     runs = summary.select(F.col("name").alias("model"), column("eval/loss").alias("loss"))
-    return board.select("model", "total").join(runs, "model", "left")
+    return totals.select("model", "total").join(runs, "model", "left")
 
 
 def registry_names(models: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ CUTS = 1 << 16
 
 def _slice(df: DataFrame, key: Column, cuts: int) -> Column:
     """Number of the equal-width slice of ``key``; grows with the key."""
-    span = df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    ends = df.agg(F.struct(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     share = (key.cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0))
     return F.coalesce(F.least(F.floor(share * cuts), F.lit(cuts - 1)), F.lit(0)).cast("int")
 

@@ -6,8 +6,8 @@ into one (dataset, text) pair per template that wants it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,12 +79,24 @@ NAMED_SOURCES = {
     SYSTEM_PROMPT: ("llama2-sql-instruct-sys-prompt-train.jsonl",),
 }
 
+# Classes of rows, and whether their rows carry an index.
+ROW_KINDS = {GENERATION: True, INSTRUCT: True, SYSTEM_PROMPT: False}
+
 DATASETS = tuple(sorted(DISPLAY_NAMES.values()))
 
 
+class RenderSource(Protocol):
+    """What the datasets are rendered from."""
+
+    sources: dict[str, tuple[str, ...]]
+    index: str
+
+    def rows(self, kind: str) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class CorpusTables:
-    """The consolidated tables the datasets are rendered from."""
+    """The consolidated tables."""
 
     generation: DataFrame
     instruct: DataFrame
@@ -96,47 +108,41 @@ class CorpusTables:
         return {GENERATION: self.generation, INSTRUCT: self.instruct, SYSTEM_PROMPT: self.system_prompt}[kind]
 
 
-def dataset(name: str, tables: CorpusTables) -> DataFrame:
+def dataset(name: str, tables: RenderSource) -> DataFrame:
     """One dataset: ``index`` and ``text``, or ``text`` alone for the system prompts."""
     branches = []
-    for template in (t for t in TEMPLATES if t.dataset == name):
-        rows = tables.rows(template.rows)
-        if template.sources:
-            rows = rows.filter(source_in(*tables.sources[template.sources]))
-        index = [] if template.rows == SYSTEM_PROMPT else [F.col(tables.index)]
-        branches.append(rows.select(*index, template.text().alias("text")))
+    for kind, index in ROW_KINDS.items():
+        templates = [t for t in TEMPLATES if t.dataset == name and t.rows == kind]
+        if templates:
+            keep = [tables.index] if index else []
+            branches.append(_render(tables.rows(kind), templates, tables, keep).drop("dataset"))
     if not branches:
         raise KeyError(f"no dataset named {name!r}")
     return unite(branches)
 
 
-def _render(rows: DataFrame, templates: Iterable[Template], tables: CorpusTables, keep: list[str]) -> DataFrame:
-    """Every template of one class over one scan."""
-    templates = list(templates)
+def _render(rows: DataFrame, templates: list[Template], tables: RenderSource, keep: list[str]) -> DataFrame:
+    """Every given template over one scan of the class."""
     named = sorted({s for t in templates if t.sources for s in tables.sources[t.sources]})
     if named:
         rows = rows.filter(source_in(*named))
+    if len(templates) == 1:
+        only = templates[0]
+        return rows.select(F.lit(only.dataset).alias("dataset"), *keep, only.text().alias("text"))
     pairs = []
     for template in templates:
         pair = F.struct(F.lit(template.dataset).alias("dataset"), template.text().alias("text"))
         if template.sources:
             pair = F.when(source_in(*tables.sources[template.sources]), pair)
         pairs.append(pair)
-    made = F.array(*pairs)
-    if named:
-        made = F.array_compact(made)
+    made = F.array_compact(F.array(*pairs)) if named else F.array(*pairs)
     return rows.select(*keep, F.explode(made).alias("_made")).select("_made.dataset", *keep, "_made.text")
 
 
-def datasets_long(tables: CorpusTables) -> DataFrame:
+def datasets_long(tables: RenderSource) -> DataFrame:
     """All datasets as (dataset, index, source, text), each class scanned once."""
-    parts = []
-    for kind, keep in ((GENERATION, [tables.index, "source"]), (INSTRUCT, [tables.index, "source"]),
-                       (SYSTEM_PROMPT, [])):
-        parts.append(_render(tables.rows(kind), (t for t in TEMPLATES if t.rows == kind), tables, keep))
-    return unite(parts)
-
-
-def with_sources(tables: CorpusTables, **groups: tuple[str, ...]) -> CorpusTables:
-    """The same tables with other files behind the named groups."""
-    return replace(tables, sources={**tables.sources, **groups})
+    return unite([
+        _render(tables.rows(kind), [t for t in TEMPLATES if t.rows == kind], tables,
+                [tables.index, "source"] if index else [])
+        for kind, index in ROW_KINDS.items()
+    ])
