@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus.operators.normalize import column
-from sqlcorpus.operators.ordering import group_bases
+from sqlcorpus.operators.ordering import before
 
-# An index over more files than this is joined by Spark's own choice of join;
-# below it, one row per file is small enough to broadcast.
-BROADCAST_FILES = 20_000
+# Up to this many pieces of files, one narrow row each, may be broadcast.
+BROADCAST_PIECES = 50_000
 
 
 def tag_source(df: DataFrame, name: str = "source") -> DataFrame:
@@ -38,24 +37,26 @@ def source_in(*sources: str) -> Column:
     return source == sources[0] if len(sources) == 1 else source.isin(*sources)
 
 
-def index_by_file(stored: DataFrame, name: str = "index") -> DataFrame:
-    """Add a dense 0-based index to a stored Parquet table, in (file path, row) order.
+def index_in_file_order(staged: DataFrame, name: str = "index") -> DataFrame:
+    """Add a dense 0-based index in (source, path, place in the file) order.
 
-    Each row already knows its place in its file, so only the number of rows of the
-    earlier files is missing: the files are counted from their footers and the
-    table itself is neither sorted nor shuffled.
+    A piece is what one task read of one file, its rows numbered without gaps at
+    the scan. So a row only lacks the number of rows in earlier pieces, and the
+    table is neither sorted nor put through a window.
     """
-    rows = stored.select(
-        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at")
+    piece = ["source", "_path", "_block"]
+    sizes = staged.groupBy(*piece).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"), F.max("_row").alias("_last")
     )
-    sizes = (
-        stored.select(F.col("_metadata.file_path").alias("_path"))
-        .groupBy("_path").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.col("_last") - F.col("_first") + 1 == F.col("_n")
+    # one row per piece in one task, never a data row
+    starts = sizes.withColumn("_start", before("_n", [], *piece)).select(
+        *piece,
+        F.when(whole, F.col("_start") - F.col("_first"))
+        .otherwise(F.raise_error(F.concat(F.lit("rows missing inside "), "_path"))).alias("_shift"),
     )
-    bases = group_bases(sizes, "_path")
-    if len(stored.inputFiles()) <= BROADCAST_FILES:
-        bases = F.broadcast(bases)
-    return (
-        rows.join(bases, "_path")
-        .select((F.col("base") + F.col("_at")).alias(name), *map(column, stored.columns))
+    if sizes.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
+        starts = F.broadcast(starts)
+    return staged.join(starts, piece).select(
+        (F.col("_shift") + F.col("_row")).alias(name), *map(column, staged.columns)
     )

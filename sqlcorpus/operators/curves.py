@@ -46,53 +46,42 @@ def curve_axis(curves: DataFrame, order: list[str] | None = None, key: Column |
 def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max of each run's losses."""
     losses = curves.select("run", "loss").filter(F.col("loss").isNotNull())
-    sizes = losses.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    moments = losses.groupBy("run").agg(
+        F.count("loss").alias("n"), F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"),
+        F.min("loss").alias("min"), F.max("loss").alias("max"),
+    )
     # at most (all rows / hot_rows) runs can be hot, so this side stays small
-    hot = F.broadcast(sizes.filter(F.col("n") > hot_rows).select("run"))
+    hot = F.broadcast(moments.filter(F.col("n") > hot_rows).select("run", F.col("n").alias("_n")))
     usual = losses.join(hot, "run", "left_anti").groupBy("run").agg(
-        *_moments(), F.percentile("loss", F.array(*map(F.lit, QUARTILES))).alias("_quartiles")
+        F.percentile("loss", F.array(*map(F.lit, QUARTILES))).alias("_quartiles")
     )
-    usual = usual.select(
+    quartiles = usual.unionByName(_hot_quartiles(losses.join(hot, "run"), hot))
+    return moments.join(quartiles, "run").select(
         "run", "n", "mean", "std", "min",
         *(F.col("_quartiles")[i].alias(f"q{int(q * 100)}") for i, q in enumerate(QUARTILES)), "max",
     )
-    return usual.unionByName(_describe_hot(losses.join(hot, "run", "left_semi")))
-
-
-def runs_by_min(described: DataFrame) -> DataFrame:
-    """Worst runs first."""
-    return described.orderBy(F.col("min").desc(), "run")
 
 
-def _moments() -> list[Column]:
-    return [
-        F.count("loss").alias("n"), F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"),
-        F.min("loss").alias("min"), F.max("loss").alias("max"),
-    ]
-
-
-def _describe_hot(losses: DataFrame) -> DataFrame:
-    """Same columns, each run spread over many tasks: rank the distinct losses, read off the quartiles."""
-    moments = losses.groupBy("run").agg(*_moments())
+def _hot_quartiles(losses: DataFrame, hot: DataFrame) -> DataFrame:
+    """Quartiles of runs too big for one task: rank the distinct losses and read them off."""
     values = losses.groupBy("run", "loss").agg(F.count(F.lit(1)).alias("_same"))
-    ranked = running_total(values, ["run"], "loss", "_same", "_before")
-    # one row per hot run
-    sized = ranked.join(F.broadcast(moments.select("run", "n")), "run")
+    ranked = running_total(values, ["run"], "loss", "_same", "_before").join(hot, "run")
 
     def at(rank: Column) -> Column:
         here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_same"))
         return F.max(F.when(here, F.col("loss")))
 
-    picks = {}
-    for q in QUARTILES:
-        rank = F.lit(q) * (F.col("n") - 1)
+    def quartile(q: float) -> Column:
+        rank = F.lit(q) * (F.col("_n") - 1)
         low, high = at(F.floor(rank)), at(F.ceil(rank))
-        share = F.max(rank - F.floor(rank))
-        picks[f"q{int(q * 100)}"] = low + (high - low) * share
-    quartiles = sized.groupBy("run").agg(*(pick.alias(name) for name, pick in picks.items()))
-    return moments.join(F.broadcast(quartiles), "run").select(
-        "run", "n", "mean", "std", "min", *picks, "max"
-    )
+        return low + (high - low) * F.max(rank - F.floor(rank))
+
+    return ranked.groupBy("run").agg(F.array(*map(quartile, QUARTILES)).alias("_quartiles"))
+
+
+def runs_by_min(described: DataFrame) -> DataFrame:
+    """Worst runs first."""
+    return described.orderBy(F.col("min").desc(), "run")
 
 
 def in_band(least: Column, bands: tuple = LOSS_BANDS) -> Column:

@@ -16,20 +16,34 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CUTS = 1 << 16
 
 
-def _slice(df: DataFrame, key: Column, cuts: int) -> Column:
-    """Number of the equal-width slice of ``key``; grows with the key."""
-    ends = df.agg(F.struct(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi"))).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
-    share = (key.cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0))
-    return F.coalesce(F.least(F.floor(share * cuts), F.lit(cuts - 1)), F.lit(0)).cast("int")
+def _slices(df: DataFrame, keys: list[Column], cuts: int) -> list[Column]:
+    """Number of the equal-width slice of each key; grows with the key."""
+    ends = df.agg(F.array(*(
+        F.struct(F.min(k).cast("double").alias("lo"), F.max(k).cast("double").alias("hi")) for k in keys
+    ))).scalar()
 
+    def one(key: Column, end: Column) -> Column:
+        width = F.nullif(end["hi"] - end["lo"], F.lit(0.0))
+        share = (key.cast("double") - end["lo"]) / width
+        return F.coalesce(F.least(F.floor(share * cuts), F.lit(cuts - 1)), F.lit(0)).cast("int")
 
-def _before(total: str, groups: list[str], order: str) -> Column:
+    return [one(key, ends[i]) for i, key in enumerate(keys)]
+
+
+def before(total: str, groups: list[str], *order: str) -> Column:
     """Sum of ``total`` over the earlier rows of the group."""
-    earlier = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(total).over(earlier), F.lit(0))
 
 
+def _starts(sliced: DataFrame, groups: list[str], slice_: str, total: Column) -> DataFrame:
+    """Sum of ``total`` over the earlier slices of the group: one row per slice."""
+    totals = sliced.groupBy(*groups, slice_).agg(total.alias("_total"))
+    starts = totals.select(*groups, slice_, before("_total", groups, slice_).alias("_start"))
+    # without groups there are at most ``cuts`` rows
+    return starts if groups else F.broadcast(starts)
+
+
 def running_total(
     df: DataFrame, groups: list[str], key: str, weight: str, name: str, cuts: int = CUTS
 ) -> DataFrame:
@@ -37,16 +51,12 @@ def running_total(
 
     ``key`` is numeric, not null and unique in its group.
     """
-    sliced = df.withColumn("_slice", _slice(df, F.col(key), cuts))
-    starts = (
-        sliced.groupBy(*groups, "_slice").agg(F.sum(weight).alias("_total"))
-        .select(*groups, "_slice", _before("_total", groups, "_slice").alias("_start"))
-    )
+    (slice_,) = _slices(df, [F.col(key)], cuts)
+    sliced = df.select("*", slice_.alias("_slice"))
+    inside = sliced.select("*", before(weight, [*groups, "_slice"], key).alias("_inside"))
     return (
-        sliced.withColumn("_inside", _before(weight, [*groups, "_slice"], key))
-        .join(starts if groups else F.broadcast(starts), [*groups, "_slice"])
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_slice", "_start", "_inside")
+        inside.join(_starts(sliced, groups, "_slice", F.sum(weight)), [*groups, "_slice"])
+        .select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
     )
 
 
@@ -64,24 +74,10 @@ def position(
     ``key`` is numeric and does not decrease along ``order``; ``order`` is unique
     in a group. ``base`` (the group columns and ``base``) is added to the result.
     """
-    sliced = df.withColumn("_slice", _slice(df, key, cuts))
-    starts = (
-        sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_total"))
-        .select(*groups, "_slice", _before("_total", groups, "_slice").alias("_start"))
-    )
-    if base is not None:
-        starts = (
-            starts.join(base, groups)
-            .select(*groups, "_slice", (F.col("_start") + F.col("base")).alias("_start"))
-        )
-    inside = F.row_number().over(W.partitionBy(*groups, "_slice").orderBy(*order)) - 1
-    return (
-        sliced.withColumn("_inside", inside)
-        # without groups there is one row per slice, so at most ``cuts`` rows
-        .join(starts if groups else F.broadcast(starts), [*groups, "_slice"])
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_slice", "_start", "_inside")
-    )
+    (slice_,) = _slices(df, [key], cuts)
+    sliced = df.select("*", slice_.alias("_slice"))
+    starts = _starts(sliced, groups, "_slice", F.count(F.lit(1)))
+    return _place(df, sliced, starts, groups, ["_slice"], order, name, base)
 
 
 def nested_position(
@@ -95,26 +91,44 @@ def nested_position(
 ) -> DataFrame:
     """Position of each row of its group in the order ``major, minor`` (unique, numeric).
 
-    One ``major`` may hold any share of the rows: it is cut along ``minor``.
+    One ``major`` may hold any share of the rows: it is cut along ``minor``. The
+    pieces, a few per major, get their starts from totals over slices of majors.
     """
-    sizes = df.groupBy(*groups, major).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = running_total(sizes, groups, major, "_rows", "base", cuts)
+    coarse, fine = _slices(df, [F.col(major), F.col(minor)], cuts)
+    sliced = df.select("*", coarse.alias("_coarse"), fine.alias("_fine"))
+    pieces = sliced.groupBy(*groups, "_coarse", major, "_fine").agg(F.count(F.lit(1)).alias("_rows"))
+    inside = pieces.select(
+        *groups, "_coarse", major, "_fine", before("_rows", [*groups, "_coarse"], major, "_fine").alias("_inside")
+    )
+    coarse_starts = _starts(pieces, groups, "_coarse", F.sum("_rows"))
+    starts = inside.join(coarse_starts, [*groups, "_coarse"]).select(
+        *groups, major, "_fine", (F.col("_start") + F.col("_inside")).alias("_start")
+    )
+    return _place(df, sliced, starts, groups, [major, "_fine"], [minor], name, base)
+
+
+def _place(
+    df: DataFrame, sliced: DataFrame, starts: DataFrame, groups: list[str], piece: list[str],
+    order: list[str], name: str, base: DataFrame | None,
+) -> DataFrame:
+    """Start of the row's piece plus its place in the piece."""
+    keys = list(dict.fromkeys([*groups, *piece]))
     if base is not None:
-        offsets = offsets.join(base.withColumnRenamed("base", "_base"), groups)
-        offsets = offsets.withColumn("base", F.col("base") + F.col("_base"))
-    return position(
-        df, [*groups, major], F.col(minor), [minor], name,
-        base=offsets.select(*groups, major, "base"), cuts=cuts,
+        starts = starts.join(base, groups).select(*keys, (F.col("_start") + F.col("base")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    return (
+        sliced.select("*", inside.alias("_inside")).join(starts, keys)
+        .select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
     )
 
 
 def group_bases(sizes: DataFrame, group: str) -> DataFrame:
-    """First index of each source when sources are laid end to end in name order.
+    """First index of each group when groups are laid end to end in name order.
 
-    Takes ``(group, n)`` and works on one row per source file, never on data rows.
+    Takes ``(group, n)`` with one row per group, such as a source file; data rows
+    never reach the one task that adds up the sizes.
     """
-    sizes = sizes.groupBy(group).agg(F.sum("n").alias("n"))
-    return sizes.select(group, _before("n", [], group).alias("base"))
+    return sizes.select(group, before("n", [], group).alias("base"))
 
 
 def descending_rank(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -122,9 +136,8 @@ def descending_rank(df: DataFrame, score: str, name: str) -> DataFrame:
 
     Ranks the distinct scores, not the rows, so no task sees the whole table.
     """
-    tally = (
-        df.groupBy(score).agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_down", -F.col(score))
+    tally = df.groupBy(score).agg(F.count(F.lit(1)).alias("_rows")).select(
+        score, "_rows", (-F.col(score)).alias("_down")
     )
     ranks = running_total(tally, [], "_down", "_rows", "_above").select(
         score, (F.col("_above") + 1).cast("int").alias(name)

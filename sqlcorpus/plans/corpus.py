@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sqlcorpus.functions import processed_name, table_name
-from sqlcorpus.operators.consolidate import from_source, index_by_file, of_class, unite
+from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of_class, unite
 from sqlcorpus.operators.normalize import column, normalize, with_kind
 from sqlcorpus.plans.templates import NAMED_SOURCES, SYSTEM_PROMPT, CorpusTables, dataset, datasets_long
 from sqlcorpus.schemas import (
@@ -19,7 +19,8 @@ from sqlcorpus.sinks.tables import create_table, replace_table
 from sqlcorpus.sources.discover import discover_sources, group_by_shape
 from sqlcorpus.sources.files import PROVENANCE, read_csv, read_json, read_jsonl, read_parquet
 
-STAGED = ("folder", "source", "_block", "_row")
+STORED = ("class", "folder", "source")
+PLACE = ("_path", "_block", "_row")
 
 
 def _read(spark: SparkSession, fmt: str, columns: tuple[str, ...], paths: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def _read(spark: SparkSession, fmt: str, columns: tuple[str, ...], paths: list[s
     return reader(spark, paths, list(columns), provenance=True)
 
 
-def _place(save: str) -> list[Column]:
+def _origin(save: str) -> list[Column]:
     folder = F.element_at(F.split("_path", "/"), -2)
     return [folder.alias("folder"), processed_name(F.col("_file"), save).alias("source")]
 
@@ -47,9 +48,9 @@ def normalize_sources(
             continue
         result = normalize(_read(spark, fmt, columns, paths), fmt, PROVENANCE)
         # a data column named like one of the store's own gives way to it
-        data = [c for c in result.rows.columns if c not in (*PROVENANCE, *STAGED, "class")]
+        data = [c for c in result.rows.columns if c not in (*PROVENANCE, *STORED)]
         frames.append(with_kind(result).select(
-            *(column(c).cast("string").alias(c) for c in data), "class", *_place(save), "_block", "_row"
+            *(column(c).cast("string").alias(c) for c in data), "class", *_origin(save), *PLACE
         ))
     if not frames:
         raise FileNotFoundError(f"no readable source below {root}")
@@ -67,7 +68,7 @@ def read_staged(spark: SparkSession, staged: str) -> DataFrame:
     """The staged rows. Partition values are names, not numbers or dates."""
     found = spark.read.parquet(staged).schema
     schema = T.StructType([
-        T.StructField(f.name, T.StringType() if f.name in ("class", "folder", "source") else f.dataType)
+        T.StructField(f.name, T.StringType() if f.name in STORED else f.dataType)
         for f in found
     ])
     return spark.read.schema(schema).parquet(staged)
@@ -80,9 +81,9 @@ def corpus_tables(staged: DataFrame, sources: dict[str, tuple[str, ...]] | None
     def table(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         lacking = [c for c in columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in lacking}) if lacking else rows
-        return rows.drop("class", "folder", "_block", "_row")
+        return rows.drop("class", "folder", *PLACE)
 
-    indexed = {kind: index_by_file(of_class(staged, kind)) for kind in (GENERATION, INSTRUCT)}
+    indexed = {kind: index_in_file_order(of_class(staged, kind)) for kind in (GENERATION, INSTRUCT)}
     return CorpusTables(
         generation=table(indexed[GENERATION], GENERATION_COLUMNS),
         instruct=table(indexed[INSTRUCT], INSTRUCT_COLUMNS),
@@ -95,12 +96,12 @@ def store_tables(staged: DataFrame, tables: CorpusTables) -> None:
     """The three union tables of the consolidated corpus."""
     replace_table(tables.generation, GENERATION_TABLE)
     replace_table(tables.instruct, INSTRUCT_TABLE)
-    replace_table(index_by_file(staged).drop("class", "folder", "_block", "_row"), ALL_TABLE)
+    replace_table(index_in_file_order(staged).drop("class", "folder", *PLACE), ALL_TABLE)
 
 
 def source_table(staged: DataFrame, name: str) -> DataFrame:
     """The rows of one file by its table name (partition pruning leaves only its files)."""
-    return index_by_file(staged.filter(table_name(F.col("source")) == name))
+    return index_in_file_order(staged.filter(table_name(F.col("source")) == name))
 
 
 def create_datasets(tables: CorpusTables, names: list[str], overwrite: bool = False) -> None:

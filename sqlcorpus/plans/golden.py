@@ -62,8 +62,11 @@ def group_count(facts: DataFrame, dims: DataFrame, on: Column, name: Column, lab
 
 
 def money(quantity: Column, price: Column) -> Column:
-    """Exact product, so that sums do not depend on the order of the rows."""
-    return quantity.cast("decimal(12,2)") * price.cast("decimal(12,2)")
+    """Exact product, so that sums do not depend on the order of the rows.
+
+    18 digits in all, the most a decimal can hold without leaving primitive arithmetic.
+    """
+    return quantity.cast("decimal(8,2)") * price.cast("decimal(9,2)")
 
 
 def revenue(details: DataFrame, products: DataFrame, on: Column, quantity: str, price: str) -> DataFrame:

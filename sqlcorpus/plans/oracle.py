@@ -107,7 +107,7 @@ members AS (
   UNION ALL SELECT 4, run, "min" FROM least WHERE "min" < 0.0004
 )"""
 
-_MONEY = "CAST(l_quantity AS DECIMAL(12,2)) * CAST(p_retailprice AS DECIMAL(12,2))"
+_MONEY = "CAST(l_quantity AS DECIMAL(8,2)) * CAST(p_retailprice AS DECIMAL(9,2))"
 
 GENERATION_FILES = """
 SELECT CAST(conv_id AS VARCHAR) AS question, CAST(turn AS VARCHAR) AS context, role AS answer,

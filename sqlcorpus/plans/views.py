@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sqlcorpus.operators.consolidate import unite
 from sqlcorpus.operators.ordering import group_bases, nested_position, position
@@ -29,6 +29,16 @@ def moment() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is looked up in the files once, not for every query."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 class Given:
     """The tables below one folder; each is opened once per query, and only if used."""
 
@@ -43,7 +53,7 @@ class Given:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        self.table = cache(lambda name: open_table(spark, f"{sf_dir}/{name}.parquet"))
 
     def pairs(self) -> DataFrame:
         """(conv_id, turn, q, a, c): each user turn, the answer right after it, the system text.

@@ -39,13 +39,12 @@ def write_rows(df: DataFrame, path: str, save: str, mode: str = "errorifexists",
 
 
 def write_routed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Normalised rows by class, folder and source file, as Parquet, in file order.
+    """Normalised rows by class, folder and source file, as Parquet.
 
-    Parquet keeps the missing-value text apart from null. Rows are sorted inside
-    each task only, so a source of any size is written by as many tasks as read it.
+    Parquet keeps the missing-value text apart from null. A source of any size is
+    written by as many tasks as read it.
     """
-    ordered = df.sortWithinPartitions("class", "folder", "source", "_block", "_row")
-    _writer(ordered, mode, ("class", "folder", "source")).parquet(path)
+    _writer(df, mode, ("class", "folder", "source")).parquet(path)
 
 
 def export_datasets(long: DataFrame, path: str, save: str = "jsonl", mode: str = "errorifexists") -> None:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from sqlcorpus.operators.consolidate import index_in_file_order
 from sqlcorpus.plans import corpus
 from sqlcorpus.plans.templates import DATASETS, dataset, datasets_long
 from sqlcorpus.sinks.files import export_datasets
@@ -81,6 +82,25 @@ def test_tables_are_densely_indexed_in_file_order(staged):
     assert sorted(r["index"] for r in tables.instruct.collect()) == list(range(5))
 
 
+def test_index_follows_a_file_cut_into_many_pieces(spark, tmp_path):
+    folder = tmp_path / "raw" / "set"
+    folder.mkdir(parents=True)
+    for name in ("a", "b"):
+        (folder / f"{name}.jsonl").write_text("".join(
+            json.dumps({"z": f"{name}{i}", "b": "x" * (i % 50), "a": "y", "k": i}) + "\n" for i in range(3000)))
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        small = corpus.stage_sources(spark, str(tmp_path / "raw"), str(tmp_path / "staged"))
+        assert small.select("_path", "_block").distinct().count() > 4
+        rows = sorted((r["index"], r["question"]) for r in index_in_file_order(small.repartition(5)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert rows == list(enumerate(f"{name}{i}" for name in ("a", "b") for i in range(3000)))
+    with pytest.raises(Exception, match="rows missing inside"):
+        index_in_file_order(small.filter("question <> 'a7'")).collect()
+
+
 def test_datasets_and_export(spark, staged, tmp_path, rows):
     tables = corpus.corpus_tables(staged, SOURCES)
     n_gen = tables.generation.count()

@@ -1,0 +1,77 @@
+import pytest
+
+from sqlcorpus.operators.normalize import normalize, with_kind
+
+MISSING = "NULL"
+
+
+def run(spark, fmt, columns, values, keep=()):
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return normalize(spark.createDataFrame([values], schema), fmt, keep)
+
+
+GENERATION = [
+    ("csv", ["combined_text"], ["x###question:q1\nq###answer:a###context:c\n"],
+     ("q1\nq", "c", "a", "x###question:q1\nq###answer:a###context:c\n")),
+    ("csv", ["combined_text"], ["nope"], (None, None, None, "nope")),
+    ("csv", ["id", "combined_text"], ["1", None], (None, None, None, None)),
+    ("csv", ["z", "b", "a"], ["1", "2", "3"], ("1", "2", "3", MISSING)),
+    ("csv", ["z", "b", "combined_text"], ["1", "2", "3"], ("1", "2", "3", MISSING)),
+    ("csv", ["q", "c", "a", "x", "y"], ["1", "2", "3", None, "5"], ("1", "2", "3", "5")),
+    ("csv", ["q", "c", "a", "x", "y"], ["1", "2", "3", None, None], ("1", "2", "3", "")),
+    ("csv", ["q", "c", "a", "x", "y"], ["1", "2", "3", "4", "5"], ("1", "2", "3", "4 5")),
+    ("jsonl", ["Questions", "SQL"], ["q", "s"], ("q", MISSING, "s", MISSING)),
+    ("jsonl", ["instr", "out", "source"], ["i", "o", "s"], (MISSING, "i", "o", MISSING)),
+    ("jsonl", ["z", "b", "a"], ["1", "2", "3"], ("1", "2", "3", MISSING)),
+    ("jsonl", ["z", "b", "a", "k"], ["1", "2", "3", "4"], ("1", "2", "3", "4")),
+    ("jsonl", ["z", "b", "a", "source"], ["1", "2", "3", "4"], ("1", "2", "3", "4")),
+    ("parquet", ["q", "a", "c", "k"], ["1", "2", "3", "4"], ("1", "3", "2", "4")),
+    ("parquet", ["q", "a", "c"], ["1", "2", "3"], ("1", "3", "2", MISSING)),
+    ("csv", ["a.b", "c`d", "e f"], ["1", "2", "3"], ("1", "2", "3", MISSING)),
+]
+
+
+@pytest.mark.parametrize("fmt, columns, values, expected", GENERATION)
+def test_generation_rules(spark, fmt, columns, values, expected):
+    result = run(spark, fmt, [c.replace("`", "``") for c in columns], values)
+    assert result.kind == "generation"
+    assert result.rows.columns == ["question", "context", "answer", "extra"]
+    assert tuple(result.rows.first()) == expected
+
+
+def test_json_keeps_further_columns(spark):
+    result = run(spark, "json", ["z", "b", "a", "more"], ["1", "2", "3", "4"])
+    assert result.rows.columns == ["question", "context", "answer", "extra", "more"]
+    assert tuple(result.rows.first()) == ("1", "2", "3", MISSING, "4")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "jsonl", "parquet"])
+@pytest.mark.parametrize("columns", [["text"], ["input", "output"]])
+def test_few_columns_pass_unchanged(spark, fmt, columns):
+    result = run(spark, fmt, columns, ["v"] * len(columns))
+    assert result.kind == "instruct"
+    assert result.rows.columns == columns
+    assert with_kind(result).first()["class"] == "instruct"
+
+
+def test_numbers_become_text(spark):
+    df = spark.createDataFrame([(1, "c", True, 5, None)], "q int, c string, a boolean, k int, j double")
+    assert tuple(normalize(df, "csv").rows.first()) == ("1", "c", "true", "5")
+
+
+def test_provenance_is_not_data(spark):
+    result = run(spark, "csv", ["text", "_file", "_row"], ["t", "f", "0"], keep=("_file", "_row"))
+    assert result.kind == "instruct"
+    result = run(spark, "csv", ["q", "c", "a", "_file"], ["1", "2", "3", "f"], keep=("_file",))
+    assert tuple(result.rows.first()) == ("1", "2", "3", MISSING, "f")
+
+
+def test_bad_shapes(spark):
+    with pytest.raises(ValueError):
+        run(spark, "json", ["a", "b"], ["1", "2"])
+    with pytest.raises(ValueError):
+        run(spark, "jsonl", ["Questions"], ["1"])
+    with pytest.raises(ValueError):
+        run(spark, "jsonl", ["SQL", "Questions"], ["1", "2"])
+    with pytest.warns(UserWarning, match="CSV"):
+        assert run(spark, "CSV", ["a", "b", "c"], ["1", "2", "3"]) is None
