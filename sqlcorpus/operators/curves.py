@@ -10,7 +10,7 @@ from sqlcorpus.operators.ordering import position, running_total
 from sqlcorpus.schemas import LOSS_BANDS, LOSS_SUFFIX
 
 # Runs with more points than this get their quartiles from a distributed rank
-# instead of one in-memory table of values per run.
+# instead of one array of values per run.
 HOT_RUN_ROWS = 1_000_000
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -52,9 +52,10 @@ def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
     )
     # at most (all rows / hot_rows) runs can be hot, so this side stays small
     hot = F.broadcast(moments.filter(F.col("n") > hot_rows).select("run", F.col("n").alias("_n")))
+    # an array holds at most ``hot_rows`` numbers, and costs less than a map of counts
     usual = losses.join(hot, "run", "left_anti").groupBy("run").agg(
-        F.percentile("loss", F.array(*map(F.lit, QUARTILES))).alias("_quartiles")
-    )
+        F.sort_array(F.collect_list("loss")).alias("_losses")
+    ).select("run", F.array(*(_quartile_of(F.col("_losses"), q) for q in QUARTILES)).alias("_quartiles"))
     quartiles = usual.unionByName(_hot_quartiles(losses.join(hot, "run"), hot))
     return moments.join(quartiles, "run").select(
         "run", "n", "mean", "std", "min",
@@ -62,6 +63,16 @@ def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
     )
 
 
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    """Value at a rank that may lie between two places."""
+    return low + (high - low) * (rank - F.floor(rank))
+
+
+def _quartile_of(ordered: Column, q: float) -> Column:
+    rank = F.lit(q) * (F.size(ordered) - 1)
+    return _between(F.get(ordered, F.floor(rank).cast("int")), F.get(ordered, F.ceil(rank).cast("int")), rank)
+
+
 def _hot_quartiles(losses: DataFrame, hot: DataFrame) -> DataFrame:
     """Quartiles of runs too big for one task: rank the distinct losses and read them off."""
     values = losses.groupBy("run", "loss").agg(F.count(F.lit(1)).alias("_same"))
@@ -73,10 +84,11 @@ def _hot_quartiles(losses: DataFrame, hot: DataFrame) -> DataFrame:
 
     def quartile(q: float) -> Column:
         rank = F.lit(q) * (F.col("_n") - 1)
-        low, high = at(F.floor(rank)), at(F.ceil(rank))
-        return low + (high - low) * F.max(rank - F.floor(rank))
+        return _between(at(F.floor(rank)), at(F.ceil(rank)), rank)
 
-    return ranked.groupBy("run").agg(F.array(*map(quartile, QUARTILES)).alias("_quartiles"))
+    return ranked.groupBy("run", "_n").agg(
+        F.array(*map(quartile, QUARTILES)).alias("_quartiles")
+    ).drop("_n")
 
 
 def runs_by_min(described: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The golden workload: the query shapes the corpus is about, as DataFrame plans.
 
 Each takes the tables it needs, so the same plan runs on a five-row shop and on
-a warehouse. Join sides are left to the optimiser: adaptive execution sees their
-real sizes and splits hot keys.
+a warehouse. Which side is broadcast is left to the optimiser. Adaptive execution
+splits a hot key of an inner join by itself; where it cannot (the side an outer or
+semi join only looks up), the plan here folds or separates that side first.
 """
 
 from __future__ import annotations
@@ -47,18 +48,30 @@ def join_filter(facts: DataFrame, dims: DataFrame, on: Column, condition: Column
     return facts.join(dims, on & condition, "inner").select(*(facts[c] for c in facts.columns))
 
 
-def left_join(left: DataFrame, right: DataFrame, on: Column, *columns: Column) -> DataFrame:
-    return left.join(right, on, "left").select(*columns)
+def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Every left row with its partners, or with nulls.
+
+    An outer join cannot split a hot key of the right side. So the matches come from
+    an inner join, which can, and the rest from an anti join with the distinct keys.
+    """
+    matched = left.join(right, left[left_key] == right[right_key], "inner")
+    keys = right.select(F.col(right_key).alias("_key")).distinct()
+    alone = left.join(keys, left[left_key] == keys["_key"], "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def in_subquery(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows whose key occurs in the one column of ``keys``."""
-    return table.join(keys.toDF(key), key, "left_semi")
+    return table.join(keys.toDF(key).distinct(), key, "left_semi")
 
 
-def group_count(facts: DataFrame, dims: DataFrame, on: Column, name: Column, label: str) -> DataFrame:
-    """Facts per dimension name."""
-    return facts.join(dims, on).groupBy(name.alias(label)).agg(F.count(F.lit(1)).alias("n"))
+def group_count(
+    facts: DataFrame, dims: DataFrame, fact_key: str, dim_key: str, name: str, label: str = "n"
+) -> DataFrame:
+    """Facts per dimension name, counted per key before they are joined."""
+    per_key = facts.groupBy(F.col(fact_key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    named = dims.select(F.col(dim_key).alias("_key"), F.col(name))
+    return per_key.join(named, "_key").groupBy(name).agg(F.sum("_n").alias(label))
 
 
 def money(quantity: Column, price: Column) -> Column:
@@ -69,9 +82,16 @@ def money(quantity: Column, price: Column) -> Column:
     return quantity.cast("decimal(8,2)") * price.cast("decimal(9,2)")
 
 
-def revenue(details: DataFrame, products: DataFrame, on: Column, quantity: str, price: str) -> DataFrame:
-    return details.join(products, on).agg(
-        F.sum(money(F.col(quantity), F.col(price))).cast("double").alias("total_revenue")
+def revenue(
+    details: DataFrame, products: DataFrame, detail_product: str, product: str, quantity: str, price: str
+) -> DataFrame:
+    """Quantity times price over all details; quantities are added up per product first."""
+    sold = details.groupBy(F.col(detail_product).alias("_product")).agg(
+        F.sum(F.col(quantity).cast("decimal(8,2)")).alias("_sold")
+    )
+    priced = products.select(F.col(product).alias("_product"), F.col(price).cast("decimal(9,2)").alias("_price"))
+    return sold.join(priced, "_product").agg(
+        F.sum(F.col("_sold") * F.col("_price")).cast("double").alias("total_revenue")
     )
 
 

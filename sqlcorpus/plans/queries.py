@@ -435,24 +435,21 @@ def golden_join_filter(g: Given) -> DataFrame:
 
 @query
 def golden_left_join(g: Given) -> DataFrame:
-    customer, orders = g.table("customer"), g.table("orders")
     return golden.left_join(
-        customer, orders, customer.c_custkey == orders.o_custkey,
-        *map(F.col, ("c_custkey", "c_name", "c_acctbal", "o_orderkey", "o_totalprice")),
-    )
+        g.table("customer").select("c_custkey", "c_name", "c_acctbal"),
+        g.table("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "c_custkey", "o_custkey",
+    ).drop("o_custkey")
 
 
 @query
 def golden_left_join_count(g: Given) -> DataFrame:
-    nation, supplier, lines = g.table("nation"), g.table("supplier"), g.table("lineitem")
     # lines are counted per supplier before they meet the other tables
-    per_supplier = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_lines"))
-    found = golden.left_join(
-        nation, supplier, nation.n_nationkey == supplier.s_nationkey, F.col("n_name"), F.col("s_suppkey")
-    )
-    counted = golden.left_join(
-        found, per_supplier, found.s_suppkey == per_supplier.l_suppkey, F.col("n_name"), F.col("n_lines")
+    per_supplier = g.table("lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    suppliers = golden.left_join(
+        g.table("nation").select("n_nationkey", "n_name"), g.table("supplier").select("s_nationkey", "s_suppkey"),
+        "n_nationkey", "s_nationkey",
     )
+    counted = golden.left_join(suppliers, per_supplier, "s_suppkey", "l_suppkey")
     return counted.groupBy("n_name").agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
 
 
@@ -464,14 +461,14 @@ def golden_in_subquery(g: Given) -> DataFrame:
 
 @query
 def golden_group_count(g: Given) -> DataFrame:
-    customer, nation = g.table("customer"), g.table("nation")
-    return golden.group_count(customer, nation, customer.c_nationkey == nation.n_nationkey, nation.n_name, "n_name")
+    return golden.group_count(g.table("customer"), g.table("nation"), "c_nationkey", "n_nationkey", "n_name")
 
 
 @query
 def golden_revenue(g: Given) -> DataFrame:
-    lines, part = g.table("lineitem"), g.table("part")
-    return golden.revenue(lines, part, lines.l_partkey == part.p_partkey, "l_quantity", "p_retailprice")
+    return golden.revenue(
+        g.table("lineitem"), g.table("part"), "l_partkey", "p_partkey", "l_quantity", "p_retailprice"
+    )
 
 
 @query
