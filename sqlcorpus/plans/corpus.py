@@ -11,25 +11,28 @@ from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of
 from sqlcorpus.operators.normalize import column, normalize, with_kind
 from sqlcorpus.plans.templates import NAMED_SOURCES, SYSTEM_PROMPT, CorpusTables, dataset, datasets_long
 from sqlcorpus.schemas import (
-    ALL_TABLE, DATASET_PREFIX, GENERATION, GENERATION_COLUMNS, GENERATION_TABLE, INSTRUCT,
+    ALL_TABLE, CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, GENERATION_COLUMNS, GENERATION_TABLE, INSTRUCT,
     INSTRUCT_COLUMNS, INSTRUCT_TABLE,
 )
 from sqlcorpus.sinks.files import export_datasets, write_routed
 from sqlcorpus.sinks.tables import create_table, replace_table
-from sqlcorpus.sources.discover import discover_sources, group_by_shape
+from sqlcorpus.sources.discover import LARGE_FILE, Shape, discover_sources, group_by_shape
 from sqlcorpus.sources.files import PROVENANCE, read_csv, read_json, read_jsonl, read_parquet
+from sqlcorpus.sources.large_csv import read_large_csv
 
 STORED = ("class", "folder", "source")
 PLACE = ("_path", "_block", "_row")
 
 
-def _read(spark: SparkSession, fmt: str, columns: tuple[str, ...], paths: list[str]) -> DataFrame:
-    if fmt == "csv":
+def _read(spark: SparkSession, shape: Shape, paths: list[str]) -> DataFrame:
+    if shape.large:
+        return read_large_csv(spark, paths, shape.columns, CSV_NA_TOKENS, provenance=True)
+    if shape.fmt == "csv":
         return read_csv(spark, paths, provenance=True)
-    if fmt == "parquet":
+    if shape.fmt == "parquet":
         return read_parquet(spark, paths, provenance=True)
-    reader = read_json if fmt == "json" else read_jsonl
-    return reader(spark, paths, list(columns), provenance=True)
+    reader = read_json if shape.fmt == "json" else read_jsonl
+    return reader(spark, paths, list(shape.columns), provenance=True)
 
 
 def _origin(save: str) -> list[Column]:
@@ -38,15 +41,16 @@ def _origin(save: str) -> list[Column]:
 
 
 def normalize_sources(
-    spark: SparkSession, root: str, exclude: tuple[str, ...] = ("raw",), save: str = "jsonl"
+    spark: SparkSession, root: str, exclude: tuple[str, ...] = ("raw",), save: str = "jsonl",
+    large_from: int = LARGE_FILE,
 ) -> DataFrame:
     """Canonical rows of every file below ``root``, one scan per file shape."""
     frames = []
-    for (fmt, columns), paths in group_by_shape(spark, discover_sources(spark, root, exclude)).items():
-        if not columns:
-            warnings.warn(f"skipped {len(paths)} file(s) of format {fmt!r}", stacklevel=2)
+    for shape, paths in group_by_shape(spark, discover_sources(spark, root, exclude), large_from).items():
+        if not shape.columns:
+            warnings.warn(f"skipped {len(paths)} file(s) of format {shape.fmt!r}", stacklevel=2)
             continue
-        result = normalize(_read(spark, fmt, columns, paths), fmt, PROVENANCE)
+        result = normalize(_read(spark, shape, paths), shape.fmt, PROVENANCE)
         # a data column named like one of the store's own gives way to it
         data = [c for c in result.rows.columns if c not in (*PROVENANCE, *STORED)]
         frames.append(with_kind(result).select(

@@ -132,6 +132,13 @@ def _per_type(value: str, condition: str = "") -> str:
     ) + condition
 
 
+_CSV_SOURCE = f"""WITH {PAIRS}
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
+           CASE WHEN q NOT IN ({_NA}) THEN q END AS q, CASE WHEN c NOT IN ({_NA}) THEN c END AS c,
+           CASE WHEN a NOT IN ({_NA}) THEN a END AS a
+    FROM pairs"""
+
+
 ORACLE: dict[str, str] = {
     "scan_parquet": "SELECT * FROM documents",
     "scan_table": "SELECT * FROM supplier",
@@ -157,11 +164,8 @@ ORACLE: dict[str, str] = {
     "json_models_explode": """
         SELECT 'owner-' || s_nationkey || '/' || s_name AS name, s_acctbal > 0 AS "isCausal",
                false AS "isLocal", s_name AS model FROM supplier""",
-    "csv_source": f"""WITH {PAIRS}
-        SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
-               CASE WHEN q NOT IN ({_NA}) THEN q END AS q, CASE WHEN c NOT IN ({_NA}) THEN c END AS c,
-               CASE WHEN a NOT IN ({_NA}) THEN a END AS a
-        FROM pairs""",
+    "csv_source": _CSV_SOURCE,
+    "csv_source_large": _CSV_SOURCE,
     "jsonl_source": "SELECT url, CAST(page_id AS VARCHAR) AS page_id, html FROM pages",
     "export_datasets": _long("dataset, idx, text"),
     "normalize_combined_text": f"""WITH {PAIRS},

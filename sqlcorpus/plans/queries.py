@@ -17,11 +17,12 @@ from sqlcorpus.operators.normalize import normalize, with_kind
 from sqlcorpus.plans import golden
 from sqlcorpus.plans.templates import DATASETS, TEMPLATES, dataset, datasets_long
 from sqlcorpus.plans.views import GEN, Given, moment, pair_key
-from sqlcorpus.schemas import DATASET_PREFIX, GENERATION, INSTRUCT, LOSS_SUFFIX
+from sqlcorpus.schemas import CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, INSTRUCT, LOSS_SUFFIX
 from sqlcorpus.session import staging_root
 from sqlcorpus.sinks.files import export_datasets, write_csv, write_jsonl
 from sqlcorpus.sources import catalog
 from sqlcorpus.sources.files import read_csv, read_jsonl
+from sqlcorpus.sources.large_csv import read_large_csv
 from sqlcorpus.sources.tables import load_dataset_by_name, scan_table
 
 Query = Callable[[Given], DataFrame]
@@ -116,6 +117,15 @@ def csv_source(g: Given) -> DataFrame:
     return read_csv(g.spark, path)
 
 
+@query
+def csv_source_large(g: Given) -> DataFrame:
+    """As ``csv_source``, by the reader that splits files between tasks."""
+    path = _fresh_folder(g)
+    rows = g.pairs().select("conv_id", "turn", "q", "c", "a")
+    write_csv(rows, path)
+    return read_large_csv(g.spark, [path], tuple(rows.columns), CSV_NA_TOKENS)
+
+
 @query
 def jsonl_source(g: Given) -> DataFrame:
     path = _fresh_folder(g)

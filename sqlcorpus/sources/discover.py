@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlcorpus.sources.files import csv_header, json_columns
+from sqlcorpus.sources.files import csv_header, json_columns, parquet_columns
+
+# CSV files from this size on are split between tasks.
+LARGE_FILE = 1 << 30
 
 
 def discover_sources(
     spark: SparkSession, root: str, exclude: tuple[str, ...] = (), skip_extensions: tuple[str, ...] = ("sqlite",)
 ) -> DataFrame:
-    """One row per file below ``root``: path, dir, folder, file, ext. Contents are not read.
+    """One row per file below ``root``: path, length, dir, folder, file, ext. Contents are not read.
 
     Files lying directly in a folder named in ``exclude`` are left out; ``dir``
     (not the folder's bare name) identifies a folder.
@@ -20,7 +26,7 @@ def discover_sources(
         .select("path", "length")
     )
     files = found.select(
-        "path",
+        "path", "length",
         F.regexp_replace("path", r"/[^/]*$", "").alias("dir"),
         F.element_at(F.split("path", "/"), -2).alias("folder"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
@@ -33,32 +39,43 @@ def files_by_folder(sources: DataFrame) -> DataFrame:
     return sources.groupBy("dir", "folder").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def group_by_shape(spark: SparkSession, sources: DataFrame) -> dict[tuple[str, tuple[str, ...]], list[str]]:
-    """(format, columns) → paths, so that all files of one shape are read by one scan.
+@dataclass(frozen=True)
+class Shape:
+    """What files have to share to be read by one scan."""
+
+    fmt: str
+    columns: tuple[str, ...]
+    large: bool = False  # too big for a reader that takes a file as a whole
+
 
-    Works on file names and headers; the number of scans is the number of shapes,
-    not of files. Files of unknown format come back under no columns.
+def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int = LARGE_FILE) -> dict[Shape, list[str]]:
+    """The paths of each shape, so that the number of scans is that of shapes, not of files.
+
+    Works on file names and headers. Files of unknown format have no columns.
     """
-    paths: dict[str, list[str]] = {}
-    for row in sources.select("path", "ext").orderBy("path").collect():
-        paths.setdefault(row["ext"], []).append(row["path"])
-    shapes: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for ext, group in paths.items():
-        if ext in ("json", "jsonl"):
-            columns = json_columns(spark, group, ext)
-            by_name = {_bare(path): names for path, names in columns.items()}
-            named = [(path, by_name.get(_bare(path), ())) for path in group]
-        elif ext == "csv":
-            named = [(path, csv_header(spark, path)) for path in group]
-        elif ext == "parquet":
-            named = [(path, tuple(spark.read.parquet(path).columns)) for path in group]
-        else:
-            named = [(path, ()) for path in group]
-        for path, names in named:
-            shapes.setdefault((ext, names), []).append(path)
+    sizes: dict[str, dict[str, int]] = {}
+    for row in sources.select("path", "ext", "length").orderBy("path").collect():
+        sizes.setdefault(row["ext"], {})[row["path"]] = row["length"]
+    shapes: dict[Shape, list[str]] = {}
+    for ext, files in sizes.items():
+        for path, columns in _columns(spark, ext, list(files)).items():
+            large = ext == "csv" and files[path] >= large_from
+            shapes.setdefault(Shape(ext, columns, large), []).append(path)
     return shapes
 
 
+def _columns(spark: SparkSession, ext: str, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    if ext in ("json", "jsonl"):
+        by_name = {_bare(path): names for path, names in json_columns(spark, paths, ext).items()}
+        return {path: by_name.get(_bare(path), ()) for path in paths}
+    if ext not in ("csv", "parquet"):
+        return dict.fromkeys(paths, ())
+    header = {"csv": csv_header, "parquet": parquet_columns}[ext]
+    # each is a tiny job that reads the start or the footer of one file
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(paths, pool.map(lambda path: header(spark, path), paths)))
+
+
 def _bare(path: str) -> str:
     """Paths come with one or three slashes after the scheme."""
     return path.replace("file:///", "file:/")

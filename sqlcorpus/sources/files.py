@@ -42,8 +42,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV files that share one header. Cells holding an NA token are null.
 
-    ``multi_line`` allows line ends in quoted cells but makes a file one task;
-    turn it off for very large files without such cells.
+    ``multi_line`` allows line ends in quoted cells but makes a file one task; for
+    very large files see ``large_csv``, or turn it off if there are no such cells.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", multi_line)
@@ -114,6 +114,10 @@ def read_jsonl(
     return _read_ordered(spark, paths, "jsonl", columns, provenance)
 
 
+def parquet_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
+    return tuple(spark.read.parquet(path).columns)
+
+
 def read_parquet(spark: SparkSession, paths: str | list[str], provenance: bool = False) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else paths
     return _finish(spark.read.parquet(*paths), provenance)

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 
 from sqlcorpus.schemas import CSV_NA_TOKENS
 from sqlcorpus.sources import catalog
 from sqlcorpus.sources.files import json_columns, read_csv, read_json, read_jsonl, read_parquet
+from sqlcorpus.sources.large_csv import read_large_csv
 from sqlcorpus.sources.runs import curve_source, read_run_records, score_sheets
 
 
@@ -28,11 +30,43 @@ def test_csv_na_tokens(spark, tmp_path):
     assert kept == 1
 
 
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("piece", [64, 1000, 1 << 20])
+def test_large_csv_equals_the_whole_file_read(spark, tmp_path, line_end, piece):
+    rng = random.Random(9)
+    cells = ["plain", "", "NA", 'say "hi"', "two\nlines", '"\n"', "a,b", "end\n", "  ", "x" * 70, '""\n\n""', "é\nü"]
+    files = []
+    for name in ("a", "b"):
+        lines = ["q,c,a"]
+        for _ in range(300):
+            row = [rng.choice(cells) for _ in range(3)]
+            lines.append(",".join('"' + v.replace('"', '""') + '"' if rng.random() < .5 or any(x in v for x in '",\n') else v
+                                  for v in row))
+            if rng.random() < .1:
+                lines.append("")
+        files.append(str(tmp_path / f"{name}.csv"))
+        with open(files[-1], "w", newline="") as f:
+            f.write(line_end.join(x.replace("\n", line_end) for x in lines) + (line_end if name == "a" else ""))
+    limits = {"spark.sql.files.maxPartitionBytes": str(piece), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        cut = read_large_csv(spark, files, ("q", "c", "a"), CSV_NA_TOKENS, provenance=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = read_csv(spark, files, provenance=True).orderBy("_path", "_row").collect()
+    cut.sort(key=lambda r: (r["_file"], r["_row"]))
+    assert [(r["_file"], r["q"], r["c"], r["a"]) for r in cut] == [(r["_file"], r["q"], r["c"], r["a"]) for r in whole]
+    assert [r["_row"] for r in cut] == [i for name in "ab" for i in range(sum(r["_file"] == f"{name}.csv" for r in whole))]
+
+
 def test_json_columns_keep_document_order(spark, tmp_path):
     file = put(tmp_path / "a.json", '[{"z": 1, "b": true, "a": 1.0},\n {"b": null, "k": {"y": 1, "x": [2]}, "z": "t"}]')
     df = read_json(spark, file)
     assert df.columns == ["z", "b", "a", "k"]
-    assert [tuple(r) for r in df.collect()] == [("1", "true", "1.0", None), ("t", None, None, '{"y":1,"x":[2]}')]
+    assert [tuple(r) for r in df.collect()] == [("1", "true", "1.0", None), ("t", None, None, '{"y": 1, "x": [2]}')]
 
 
 def test_jsonl_columns_come_from_first_sight_over_all_lines(spark, tmp_path):
