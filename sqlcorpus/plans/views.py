@@ -55,31 +55,36 @@ class Given:
         self.spark = spark
         self.table = cache(lambda name: open_table(spark, f"{sf_dir}/{name}.parquet"))
 
-    def pairs(self) -> DataFrame:
+    def pairs(self, placed: DataFrame | None = None) -> DataFrame:
         """(conv_id, turn, q, a, c): each user turn, the answer right after it, the system text.
 
-        The answer is joined on (conversation, turn), which is unique, so a conversation
-        that holds most of the rows is still spread over all tasks.
+        Every text is moved once, by (conversation, turn), which is unique: a
+        conversation that holds most of the rows is still spread over all tasks. The
+        system text meets bare keys first, so that the turns are not moved by
+        conversation. ``placed`` adds columns by the same key.
         """
+        key = ["conv_id", "turn"]
         turns = self.table("conversations")
-        asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+        asked = turns.filter("role = 'user'").select(*key, F.col("text").alias("q"))
         answered = turns.filter("role = 'assistant'").select(
             "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a")
         )
         system = turns.filter("role = 'system'").select("conv_id", F.col("text").alias("c"))
-        return (
-            asked.join(answered, ["conv_id", "turn"], "left").join(system, "conv_id", "left")
-            .select("conv_id", "turn", "q", "a", F.coalesce("c", F.lit(MISSING)).alias("c"))
-        )
+        contexts = self._asked().join(system, "conv_id")
+        joined = asked.join(answered, key, "left").join(contexts, key, "left")
+        if placed is not None:
+            joined = joined.join(placed, key)
+        extra = [] if placed is None else [c for c in placed.columns if c not in key]
+        return joined.select(*key, *extra, "q", "a", F.coalesce("c", F.lit(MISSING)).alias("c"))
 
     def _asked(self) -> DataFrame:
         return self.table("conversations").filter("role = 'user'").select("conv_id", "turn")
 
-    def _gen_parts(self) -> tuple[DataFrame, DataFrame]:
+    def _gen_parts(self, placed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         missing = F.lit(MISSING)
-        from_pairs = self.pairs().select(
-            "conv_id", "turn", F.col("q").alias("question"), F.col("c").alias("context"),
-            F.col("a").alias("answer"), missing.alias("extra"), F.lit("conversations").alias("source"),
+        names = {"question": "q", "context": "c", "answer": "a"}
+        from_pairs = self.pairs(placed).withColumnsRenamed({old: new for new, old in names.items()}).withColumns(
+            {"extra": missing, "source": F.lit("conversations")}
         )
         from_documents = self.table("documents").select(
             "doc_id", missing.alias("question"), F.col("text").alias("context"),
@@ -97,38 +102,26 @@ class Given:
 
     def gen(self) -> DataFrame:
         """(idx, question, context, answer, extra, source): idx runs over (source, key)."""
-        from_pairs, from_documents = self._gen_parts()
-        # place the narrow keys, then join on the key the answers are joined on
-        asked = nested_position(self._asked(), [], "conv_id", "turn", "idx")
+        # of the turns only the keys are put in order
+        placed = nested_position(self._asked(), [], "conv_id", "turn", "idx")
+        from_pairs, from_documents = self._gen_parts(placed)
         first_document = self._asked().agg(F.count(F.lit(1))).scalar()
-        placed = position(from_documents, [], F.col("doc_id"), ["doc_id"], "idx")
+        documents = position(from_documents, [], F.col("doc_id"), ["doc_id"], "idx")
         return unite([
-            from_pairs.join(asked, ["conv_id", "turn"]).select("idx", *GEN),
-            placed.select((F.col("idx") + first_document).alias("idx"), *GEN),
+            from_pairs.select("idx", *GEN),
+            documents.select((F.col("idx") + first_document).alias("idx"), *GEN),
         ])
 
-    def ins_unindexed(self) -> list[DataFrame]:
-        """Instruct rows of the two tables, each with the columns it has."""
-        return [
-            self.pairs().select(
-                "conv_id", "turn", F.col("q").alias("input"), F.col("a").alias("output"),
-                conversation_file().alias("source"),
-            ),
-            self.table("documents").select("doc_id", "text", "source"),
-        ]
-
     def ins(self) -> DataFrame:
         """(idx, text, input, output, source): idx runs over (source, key)."""
-        from_pairs, from_documents = self.ins_unindexed()
+        documents = self.table("documents").select("doc_id", "text", "source")
         keys = self._asked().withColumn("source", conversation_file())
-        sizes = unite([keys.select("source"), self.table("documents").select("source")])
+        sizes = unite([keys.select("source"), documents.select("source")])
         bases = group_bases(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
-        asked = nested_position(keys, ["source"], "conv_id", "turn", "idx", base=bases).drop("source")
-        placed = position(from_documents, ["source"], F.col("doc_id"), ["doc_id"], "idx", base=bases)
-        both = unite([
-            from_pairs.join(asked, ["conv_id", "turn"]).drop("conv_id", "turn"), placed.drop("doc_id")
-        ])
-        return both.select("idx", *INS)
+        placed = nested_position(keys, ["source"], "conv_id", "turn", "idx", base=bases)
+        from_pairs = self.pairs(placed).select("idx", F.col("q").alias("input"), F.col("a").alias("output"), "source")
+        from_documents = position(documents, ["source"], F.col("doc_id"), ["doc_id"], "idx", base=bases)
+        return unite([from_pairs, from_documents.drop("doc_id")]).select("idx", *INS)
 
     def rows(self, kind: str) -> DataFrame:
         """The table a template reads."""
