@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus.functions import run_label, scale_step
 from sqlcorpus.operators.normalize import column
-from sqlcorpus.operators.ordering import position, running_total
+from sqlcorpus.operators.ordering import position_in_many, running_total
 from sqlcorpus.schemas import LOSS_BANDS, LOSS_SUFFIX
 
-# Runs with more points than this get their quartiles from a distributed rank
-# instead of one array of values per run.
-HOT_RUN_ROWS = 1_000_000
+# Largest number of losses kept as one array (about a hundred megabytes while it is filled).
+HOT_RUN_ROWS = 4_000_000
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -39,12 +38,17 @@ def pivot_curves(curves: DataFrame, keys: list[str], runs: list[str]) -> DataFra
 
 def curve_axis(curves: DataFrame, order: list[str] | None = None, key: Column | None = None) -> DataFrame:
     """Add ``x``: the row's place in its run (from 1) times the evaluation interval."""
-    placed = position(curves, ["run"], F.col("step") if key is None else key, order or ["step"], "_at")
+    place_key = F.col("step") if key is None else key
+    placed = position_in_many(curves, ["run"], place_key, order or ["step"], "_at")
     return placed.withColumn("x", scale_step(F.col("_at") + 1)).drop("_at")
 
 
 def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
-    """Count, mean, sample deviation, min, exact quartiles and max of each run's losses."""
+    """Count, mean, sample deviation, min, exact quartiles and max of each run's losses.
+
+    Runs above ``hot_rows`` points get their quartiles from a distributed rank
+    instead of one array of values per run.
+    """
     losses = curves.select("run", "loss").filter(F.col("loss").isNotNull())
     moments = losses.groupBy("run").agg(
         F.count("loss").alias("n"), F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"),

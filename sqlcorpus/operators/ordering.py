@@ -4,7 +4,8 @@ A window over a hot group (or over the whole table) would sort all of it in a
 single task. Here the order is first cut into equal-width slices of a numeric
 key. Slice sizes come from an aggregate with map-side combine; running totals
 over slices touch at most ``CUTS`` rows per group; and the rows themselves are
-only ever sorted inside one slice. Slices decide the spread of work, never the
+only ever sorted inside one slice. Where groups are many and mostly small, only
+those above ``HOT_ROWS`` are cut. Slices decide the spread of work, never the
 result. Everything is a pure function of the data, so a lost executor's tasks
 give the same positions when run again.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CUTS = 1 << 16
+HOT_ROWS = 1_000_000
 
 
 def _slices(df: DataFrame, keys: list[Column], cuts: int) -> list[Column]:
@@ -60,6 +62,14 @@ def running_total(
     )
 
 
+def _mark_hot(df: DataFrame, groups: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_hot`` set for those of groups above ``hot_rows``, and these rows alone."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    # at most (all rows / hot_rows) groups can be hot
+    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(*groups, F.lit(True).alias("_hot")))
+    return df.join(hot, groups, "left"), df.join(hot, groups)
+
+
 def position(
     df: DataFrame,
     groups: list[str],
@@ -69,7 +79,7 @@ def position(
     base: DataFrame | None = None,
     cuts: int = CUTS,
 ) -> DataFrame:
-    """Add the 0-based position of each row of its group in ``order``.
+    """Add the 0-based position of each row of its group in ``order``; for few, big groups.
 
     ``key`` is numeric and does not decrease along ``order``; ``order`` is unique
     in a group. ``base`` (the group columns and ``base``) is added to the result.
@@ -80,6 +90,18 @@ def position(
     return _place(df, sliced, starts, groups, ["_slice"], order, name, base)
 
 
+def position_in_many(
+    df: DataFrame, groups: list[str], key: Column, order: list[str], name: str,
+    hot_rows: int = HOT_ROWS, cuts: int = CUTS,
+) -> DataFrame:
+    """The same for many groups of any size: only the hot ones are cut."""
+    marked, hot = _mark_hot(df, groups, hot_rows)
+    (slice_,) = _slices(df, [key], cuts)
+    sliced = marked.select(*df.columns, F.when(F.col("_hot"), slice_).otherwise(0).alias("_slice"))
+    starts = _starts(hot.select("*", slice_.alias("_slice")), groups, "_slice", F.count(F.lit(1)))
+    return _place(df, sliced, starts, groups, ["_slice"], order, name, None, "left")
+
+
 def nested_position(
     df: DataFrame,
     groups: list[str],
@@ -87,15 +109,20 @@ def nested_position(
     minor: str,
     name: str,
     base: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
     cuts: int = CUTS,
 ) -> DataFrame:
     """Position of each row of its group in the order ``major, minor`` (unique, numeric).
 
-    One ``major`` may hold any share of the rows: it is cut along ``minor``. The
-    pieces, a few per major, get their starts from totals over slices of majors.
+    One ``major`` may hold any share of the rows: a hot one is cut along ``minor``.
+    The pieces, one per major that is not, get their starts from totals over slices
+    of majors.
     """
+    marked, _ = _mark_hot(df, [*groups, major], hot_rows)
     coarse, fine = _slices(df, [F.col(major), F.col(minor)], cuts)
-    sliced = df.select("*", coarse.alias("_coarse"), fine.alias("_fine"))
+    sliced = marked.select(
+        *df.columns, coarse.alias("_coarse"), F.when(F.col("_hot"), fine).otherwise(0).alias("_fine")
+    )
     pieces = sliced.groupBy(*groups, "_coarse", major, "_fine").agg(F.count(F.lit(1)).alias("_rows"))
     inside = pieces.select(
         *groups, "_coarse", major, "_fine", before("_rows", [*groups, "_coarse"], major, "_fine").alias("_inside")
@@ -109,7 +136,7 @@ def nested_position(
 
 def _place(
     df: DataFrame, sliced: DataFrame, starts: DataFrame, groups: list[str], piece: list[str],
-    order: list[str], name: str, base: DataFrame | None,
+    order: list[str], name: str, base: DataFrame | None, how: str = "inner",
 ) -> DataFrame:
     """Start of the row's piece plus its place in the piece."""
     keys = list(dict.fromkeys([*groups, *piece]))
@@ -117,8 +144,8 @@ def _place(
         starts = starts.join(base, groups).select(*keys, (F.col("_start") + F.col("base")).alias("_start"))
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
     return (
-        sliced.select("*", inside.alias("_inside")).join(starts, keys)
-        .select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+        sliced.select("*", inside.alias("_inside")).join(starts, keys, how)
+        .select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_inside")).alias(name))
     )
 
 

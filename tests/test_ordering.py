@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sqlcorpus.operators.ordering import descending_rank, group_bases, nested_position, position, running_total
+from sqlcorpus.operators.ordering import (
+    descending_rank, group_bases, nested_position, position, position_in_many, running_total,
+)
 
 
 def frame(spark, n=600, seed=1):
@@ -23,11 +25,19 @@ def test_position(spark, cuts):
     assert list(got["p"]) == list(range(601))
 
 
+@pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
+def test_position_in_many(spark, hot_rows):
+    got = position_in_many(frame(spark), ["g"], F.col("k"), ["k"], "p", hot_rows, 7).toPandas().sort_values(["g", "k"])
+    assert (got["p"] == got.groupby("g").cumcount()).all() and len(got) == 601
+
+
+@pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
 @pytest.mark.parametrize("cuts", [1, 7, 1 << 16])
-def test_nested_position(spark, cuts):
-    got = nested_position(frame(spark), [], "major", "k", "p", cuts=cuts).toPandas().sort_values(["major", "k"])
+def test_nested_position(spark, cuts, hot_rows):
+    got = nested_position(frame(spark), [], "major", "k", "p", None, hot_rows, cuts).toPandas().sort_values(["major", "k"])
     assert list(got["p"]) == list(range(601))
-    got = nested_position(frame(spark), ["g"], "major", "k", "p", cuts=cuts).toPandas().sort_values(["g", "major", "k"])
+    got = nested_position(frame(spark), ["g"], "major", "k", "p", None, hot_rows, cuts).toPandas()
+    got = got.sort_values(["g", "major", "k"])
     assert (got["p"] == got.groupby("g").cumcount()).all()
 
 
