@@ -16,8 +16,8 @@ from sqlcorpus.operators.consolidate import from_source, of_class, tag_source, u
 from sqlcorpus.operators.normalize import normalize, with_kind
 from sqlcorpus.plans import golden
 from sqlcorpus.plans.templates import DATASETS, TEMPLATES, dataset, datasets_long
-from sqlcorpus.plans.views import GEN, Given, moment, pair_key
-from sqlcorpus.schemas import CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, INSTRUCT, LOSS_SUFFIX
+from sqlcorpus.plans.views import Given, moment, pair_key
+from sqlcorpus.schemas import CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, LOSS_SUFFIX
 from sqlcorpus.session import staging_root
 from sqlcorpus.sinks.files import export_datasets, write_csv, write_jsonl
 from sqlcorpus.sources import catalog

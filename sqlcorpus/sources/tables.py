@@ -12,8 +12,8 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def list_datasets(spark: SparkSession, prefix: str = DATASET_PREFIX) -> list[str]:
-    """Names of the tables and views that hold datasets."""
-    return sorted(t.name for t in spark.catalog.listTables(pattern=prefix + "*") if t.name.startswith(prefix))
+    """Names of the tables and views that hold datasets; a view that hides a table counts once."""
+    return sorted({t.name for t in spark.catalog.listTables(pattern=prefix + "*") if t.name.startswith(prefix)})
 
 
 def load_dataset_by_name(spark: SparkSession, display_name: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_borders_belong_to_both_bands(spark, rows):
     df = long(spark, {"a": [3.2], "b": [1.0], "c": [4e-4], "d": [3e-4], "e": [None]})
     assert rows(curves.loss_bands(df), "run", "band") == [
         ("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 3), ("d", 4)]
-    assert rows(curves.loss_bands(df, ((9, None, None, False),)), "band").count((9,)) == 5 or True
+    assert len(rows(curves.loss_bands(df, ((9, None, None, False),)))) == 5  # a band without ends holds every run
     assert rows(curves.band_curves(df, 2), "run", "loss") == [("a", 3.2), ("b", 1.0)]
 
 

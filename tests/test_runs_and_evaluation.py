@@ -1,7 +1,10 @@
+import glob
+
 import pytest
 
 from sqlcorpus.operators import evaluate, runs
 from sqlcorpus.schemas import CRITERIA
+from sqlcorpus.sinks.files import write_csv
 
 
 def test_run_summary(spark, rows):
@@ -15,6 +18,15 @@ def test_run_summary(spark, rows):
     assert runs.run_summary(labelled).columns == ["name", "eval/loss", "train/learning_rate", "_step", "runtime_hms"]
 
 
+def test_summary_sink(spark, tmp_path):
+    records = spark.createDataFrame(
+        [("sky-1 - (P)", 0.5, 1e-4, 114, 9464.7)],
+        "name string, `eval/loss` double, `train/learning_rate` double, _step long, _runtime double")
+    write_csv(runs.run_summary(records), str(tmp_path / "summary"))
+    lines = {line for f in glob.glob(str(tmp_path / "summary" / "*.csv")) for line in open(f).read().splitlines()}
+    assert lines == {"name,eval/loss,train/learning_rate,_step,runtime_hms", "sky-1 - (P),0.5,1.0E-4,28500,2h 37m 44s"}
+
+
 def test_leaderboard(spark, rows):
     criteria = list(CRITERIA.values())
     sheets = [(c, m, s) for m, scores in (("x", (10, 9, 9, 9, 2)), ("y", (10, 9, 10, 10, 2)), ("z", (10, 10, 10, 10, 1)))

@@ -52,8 +52,11 @@ def test_table_sinks(spark, tmp_path):
     create_table(nasty(spark).limit(1), "dataset_sinks_test", overwrite=True)
     replace_table(nasty(spark), "plain_sinks_test")
     replace_table(nasty(spark), "plain_sinks_test")
+    nasty(spark).createOrReplaceTempView("dataset_sinks_view")
     names = export_tables(spark, str(tmp_path / "out"), "csv")
-    assert "dataset_sinks_test" in names and "plain_sinks_test" not in names
+    assert {"dataset_sinks_test", "dataset_sinks_view"} <= set(names) and "plain_sinks_test" not in names
+    assert len(names) == len(set(names))
     assert read_csv(spark, str(tmp_path / "out" / "dataset_sinks_test")).count() == 1
+    spark.catalog.dropTempView("dataset_sinks_view")
     spark.sql("DROP TABLE dataset_sinks_test")
     spark.sql("DROP TABLE plain_sinks_test")
