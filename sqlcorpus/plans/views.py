@@ -25,8 +25,10 @@ def conversation_file() -> Column:
 
 
 def moment() -> Column:
-    """Event time as a number."""
-    return F.unix_micros(F.col("ts").cast("timestamp"))
+    """Event time in microseconds by the clock it was written with, whatever the session's time zone."""
+    ts = F.col("ts")
+    whole = (F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return whole * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
