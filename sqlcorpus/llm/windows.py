@@ -167,7 +167,8 @@ def repeated_spans(docs: DataFrame, w: Windows, index: Callable[[pd.DataFrame, W
 
     first = F.struct("no_id", "doc_id", "at")
     one = classes.select(*CLASS, "n", F.struct("first.no_id", "first.doc_id", "first.at").alias("first"))
-    told = one.join(marks, CLASS, "left").where("n > 1 or spans is not null")
+    # written, so that a text with very many occurrences meets a plain table and its join can be split
+    told = stage(one.join(marks, CLASS, "left").where("n > 1 or spans is not null"))
     here = hits.join(told, CLASS)
     whole = F.array(F.struct((F.col("at") - F.col("lead")).alias("from"), (F.col("at") - F.col("tail") + w.length).alias("to"))).cast(SPAN)
     part = F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: F.struct((s["from"] + F.col("at")).alias("from"), (s["to"] + F.col("at")).alias("to"))).cast(SPAN)
