@@ -1,4 +1,4 @@
-"""SentencePiece encoding with offsets: normalisation through the compiled character map, then byte-pair merges.
+"""SentencePiece encoding with offsets: normalisation through the compiled character map, then the model's pieces.
 
 The map is a double-array trie; the longest key at each place is replaced, and for every byte of
 the normalised text the source byte it came from is kept. Pieces are found in the normalised
@@ -7,7 +7,6 @@ text and projected back to byte spans of the original.
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -18,11 +17,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from sqlcorpus.llm.arrays import in_slices
 from sqlcorpus.llm.tables import quoted, small_batches, without
 
 MARK = "▁"
 CACHED = 400_000  # units whose pieces a worker remembers
-SHORT = 48  # characters up to which a unit is merged by plain scans
+BATCH = 1 << 20  # characters encoded together
 SPANS = "ids array<int>, starts array<int>, ends array<int>"
 
 
@@ -61,30 +61,42 @@ class CharMap:
 
 
 class Pieces:
-    """A piece model of the byte-pair kind, with what its normaliser does."""
+    """A piece model, with what its normaliser does and the pieces of the words met so far."""
 
     def __init__(self, proto: bytes) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto)
         model = sentencepiece_model_pb2.ModelProto.FromString(proto)
-        if model.trainer_spec.model_type != 2 or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only byte-pair models that mark spaces before words are supported")
-        spec = model.normalizer_spec
-        self.chars = CharMap(spec.precompiled_charsmap)
-        self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        if not self.escape:
-            raise ValueError("models that keep blanks as they are are not supported")
-        kinds = model.SentencePiece
-        self.number = {p.piece: k for k, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.cost = {p.piece: -p.score for p in model.pieces if p.type == kinds.NORMAL}
+        spec, kinds = model.normalizer_spec, model.SentencePiece
+        if model.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces or not model.trainer_spec.byte_fallback:
+            raise ValueError("only models that mark blanks, before words, and fall back to bytes are supported")
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
-        self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.unknown = self.library.unk_id()
+        self.chars = CharMap(spec.precompiled_charsmap)
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
+        self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         # if no piece goes on over the start of a word, words are encoded one by one
-        apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.number)
+        apart = not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces if p.type == kinds.NORMAL)
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else "(?s).+")
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        # the same pieces for text that is normalised already
+        spec.precompiled_charsmap = b""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, units: set[str]) -> None:
+        """Appends the pieces of new units to ``ids``; ``first`` tells where each unit's begin."""
+        if len(self.known) + len(units) > CACHED:
+            self._forget()
+        new = list(units)
+        found = self.segmenter.encode(new, num_threads=1)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(f) for f in found])])
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes (and its end) the source byte it came from."""
@@ -126,78 +138,25 @@ class Pieces:
             source += [origin] * len(piece)
         return made.decode("utf-8", "replace"), np.array([*source, end], np.int64)
 
-    def merge(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of one unit, and how many normalised bytes each covers: best score first, leftmost of equals."""
-        ids, sizes = [], []
-        for piece in self._scan(unit) if len(unit) <= SHORT else self._queue(unit):
-            if piece in self.number:
-                ids.append(self.number[piece])
-                sizes.append(len(piece.encode()))
-            elif self.byte:
-                for value in piece.encode():
-                    ids.append(self.byte[value])
-                    sizes.append(1)
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(piece.encode()))
-        return tuple(ids), tuple(sizes)
-
-    def _scan(self, unit: str) -> list[str]:
-        part, cost = list(unit), self.cost
-        costs = [cost.get(a + b, np.inf) for a, b in zip(part, part[1:])]
-        while costs and (best := min(costs)) < np.inf:
-            at = costs.index(best)
-            part[at : at + 2] = [part[at] + part[at + 1]]
-            del costs[at]
-            if at:
-                costs[at - 1] = cost.get(part[at - 1] + part[at], np.inf)
-            if at < len(costs):
-                costs[at] = cost.get(part[at] + part[at + 1], np.inf)
-        return part
-
-    def _queue(self, unit: str) -> list[str]:
-        part = list(unit)
-        after = list(range(1, len(part) + 1))
-        before = list(range(-1, len(part) - 1))
-        queue: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if 0 <= left and right < len(part) and (both := part[left] + part[right]) in self.cost:
-                heapq.heappush(queue, (self.cost[both], left, right, both))
-
-        for k in range(len(part) - 1):
-            offer(k, k + 1)
-        while queue:
-            _, left, right, both = heapq.heappop(queue)
-            if not part[left] or not part[right] or part[left] + part[right] != both or after[left] != right:
-                continue
-            part[left], part[right] = both, ""
-            after[left] = after[right]
-            if after[right] < len(part):
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
-        return [p for p in part if p]
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with begin and end, and first and past-last source byte of each (empty at begin and end)."""
-        norm, source = self.normalise(text)
-        ids, sizes, known = [self.begin], [0], self.known
-        for unit in self.unit.findall(norm):
-            found = known.get(unit)
-            if found is None:
-                found = self.merge(unit)
-                if len(known) >= CACHED:
-                    known.clear()
-                if len(unit) <= 64:
-                    known[unit] = found
-            ids += found[0]
-            sizes += found[1]
-        ends = np.cumsum(np.array(sizes, np.int64))
-        starts = ends - sizes
-        last = len(source) - 1
-        return (np.array([*ids, self.end], np.int32),
-                np.r_[source[starts], source[last]].astype(np.int32), np.r_[source[ends], source[last]].astype(np.int32))
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text ids with begin and end, and first and past-last source byte of each (empty at begin and end)."""
+        normal = [self.normalise(t) for t in texts]
+        units = [self.unit.findall(norm) for norm, _ in normal]
+        new = {u for us in units for u in us} - self.known.keys()
+        if new:
+            self._learn(new)
+            if len(missing := {u for us in units for u in us} - self.known.keys()):  # the memory was cleared
+                self._learn(missing)
+        out = []
+        for us, (_, source) in zip(units, normal):
+            number = np.fromiter(map(self.known.__getitem__, us), np.int64, len(us))
+            count = self.first[number + 1] - self.first[number]
+            shift = np.repeat(self.first[number] - np.cumsum(count) + count, count)
+            ids = self.ids[shift + np.arange(len(shift))]
+            ends = source[np.r_[0, np.cumsum(self.width[ids]), len(source) - 1]].astype(np.int32)
+            starts = np.r_[ends[:1], ends[:-1]]
+            out.append((np.r_[self.begin, ids, self.end].astype(np.int32), starts, ends))
+        return out
 
 
 LOADED: dict[bytes, Pieces] = {}
@@ -223,7 +182,8 @@ def encode(docs: DataFrame, proto: bytes) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = pieces(shared.value)
         for texts in batches:
-            found = [model.encode(t if t is not None and t == t else "") for t in texts]
+            found = [f for part in in_slices(iter([texts.to_frame("text")]), "text", BATCH) for f in model.encode(
+                [t if t is not None and t == t else "" for t in part["text"]])]
             yield pd.DataFrame({"ids": [f[0] for f in found], "starts": [f[1] for f in found], "ends": [f[2] for f in found]})
 
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.col("text").alias("text"))
