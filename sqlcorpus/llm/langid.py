@@ -21,6 +21,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 SAMPLE_PER_LABEL = 800  # bound on the labelled rows the model is fitted on, per language
+STEPS = 640  # of gradient descent, at least
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -79,16 +80,16 @@ def fit(rows: list, dims: int = 16, epochs: int = 8, batch: int = 32, rate: floa
     data = [(np.asarray(b), np.asarray(c, np.float32) / np.float32(max(1.0, float(np.sum(c)))), number[lang]) for lang, b, c in rows]
     train = [d for k, d in enumerate(data) if k % 5 != 4] or data
     held = [d for k, d in enumerate(data) if k % 5 == 4] or data
-    steps, total = 0, epochs * max(1, -(-len(train) // batch))
+    epochs = max(epochs, -(-STEPS * batch // len(train)))  # small samples are seen more often
+    steps, total = 0, epochs * -(-len(train) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(train))
         for at in range(0, len(train), batch):
             part = [train[k] for k in order[at : at + batch]]
             buckets = np.concatenate([p[0] for p in part])
             weights = np.concatenate([p[1] for p in part])
-            owner = np.repeat(np.arange(len(part)), [len(p[0]) for p in part])
-            hidden = np.zeros((len(part), dims), np.float32)
-            np.add.at(hidden, owner, embedding[buckets] * weights[:, None])
+            first = np.r_[0, np.cumsum([len(p[0]) for p in part])[:-1]]
+            hidden = np.add.reduceat(embedding[buckets] * weights[:, None], first)
             scores = hidden @ output + bias
             probs = np.exp(scores - scores.max(1, keepdims=True))
             probs /= probs.sum(1, keepdims=True)
@@ -98,7 +99,8 @@ def fit(rows: list, dims: int = 16, epochs: int = 8, batch: int = 32, rate: floa
             output -= step * (hidden.T @ probs) / len(part)
             bias -= step * probs.mean(0)
             # the gradient of a mean reaches a bucket by its share of the text, which is tiny: hence the factor
-            np.add.at(embedding, buckets, -step * 20 * back[owner] * weights[:, None])
+            for (own, share, _), slope in zip(part, back):
+                embedding[own] -= step * 20 * share[:, None] * slope
             steps += 1
     logits = embedding @ output
     raw = np.stack([(logits[b] * w[:, None]).sum(0) + bias for b, w, _ in held])
