@@ -20,7 +20,7 @@ from sqlcorpus.llm.tables import quoted, small_batches, without
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
-SAMPLE_PER_LABEL = 800  # bound on the labelled rows the model is fitted on, per language
+SAMPLE_PER_LABEL = 400  # bound on the labelled rows the model is fitted on, per language
 STEPS = 640  # of gradient descent, at least
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,7 +63,7 @@ def sampled_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [gram_counts(t) for t in folded(frame["text"])]
         yield pd.DataFrame({
             "lang": frame["lang"].to_numpy(), "place": frame["place"].to_numpy(),
-            "buckets": [r[0].astype(np.int32) for r in rows], "counts": [r[1].astype(np.float32) for r in rows],
+            "buckets": [r[0].astype(np.int32).tobytes() for r in rows], "counts": [r[1].astype(np.float32).tobytes() for r in rows],
         })
 
 
@@ -136,10 +136,11 @@ def train(docs: DataFrame, usable: Column, per_label: int = SAMPLE_PER_LABEL) ->
     drawn = F.lit(False)
     for lang, part in counts.items():
         drawn = drawn | ((F.col("lang") == lang) & (F.pmod("place", F.lit(1 << 20)) < int(min(1.0, part) * (1 << 20))))
-    found = rows.where(drawn).limit(2 * per_label * len(counts)).mapInPandas(
-        sampled_features, "lang string, place long, buckets array<int>, counts array<float>").collect()
+    # bytes, not lists: the driver holds the sample in arrays
+    found = rows.where(drawn).mapInPandas(
+        sampled_features, "lang string, place long, buckets binary, counts binary").limit(2 * per_label * len(counts)).collect()
     found.sort(key=lambda r: (r["place"], r["lang"]))
-    return fit([(r["lang"], r["buckets"], r["counts"]) for r in found])
+    return fit([(r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in found])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
