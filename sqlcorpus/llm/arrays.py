@@ -107,7 +107,7 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def in_slices(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def in_slices(frames: Iterator[pd.DataFrame], column: str, limit: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """The same rows in frames whose texts stay near ``limit`` characters (one long text may exceed it)."""
     for frame in frames:
         if not len(frame):

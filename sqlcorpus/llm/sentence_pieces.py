@@ -21,8 +21,8 @@ from sqlcorpus.llm.arrays import in_slices
 from sqlcorpus.llm.tables import quoted, small_batches, without
 
 MARK = "▁"
-CACHED = 400_000  # units whose pieces a worker remembers
-BATCH = 1 << 20  # characters encoded together
+CACHED = 250_000  # units whose pieces a worker remembers
+BATCH = 1 << 19  # characters encoded together
 SPANS = "ids array<int>, starts array<int>, ends array<int>"
 
 

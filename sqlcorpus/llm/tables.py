@@ -34,7 +34,7 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts stay small where texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def text_key(column: str = "text") -> Column:
