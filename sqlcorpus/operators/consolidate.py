@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus.operators.normalize import column
 from sqlcorpus.operators.ordering import before
+from sqlcorpus.sources.files import decoded
 
 # Up to this many pieces of files, one narrow row each, may be broadcast.
 BROADCAST_PIECES = 50_000
@@ -15,7 +16,7 @@ BROADCAST_PIECES = 50_000
 
 def tag_source(df: DataFrame, name: str = "source") -> DataFrame:
     """Add the file name, extension included, of a freshly scanned file source."""
-    return df.withColumn(name, F.col("_metadata.file_name"))
+    return df.withColumn(name, decoded("_metadata.file_name"))
 
 
 def unite(frames: list[DataFrame]) -> DataFrame:

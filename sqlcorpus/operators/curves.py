@@ -55,7 +55,7 @@ def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
         F.min("loss").alias("min"), F.max("loss").alias("max"),
     )
     # at most (all rows / hot_rows) runs can be hot, so this side stays small
-    hot = F.broadcast(moments.filter(F.col("n") > hot_rows).select("run", F.col("n").alias("_n")))
+    hot = moments.filter(F.col("n") > hot_rows).select("run", F.col("n").alias("_n"))
     # an array holds at most ``hot_rows`` numbers, and costs less than a map of counts
     usual = losses.join(hot, "run", "left_anti").groupBy("run").agg(
         F.sort_array(F.collect_list("loss")).alias("_losses")

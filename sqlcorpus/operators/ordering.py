@@ -66,7 +66,7 @@ def _mark_hot(df: DataFrame, groups: list[str], hot_rows: int) -> tuple[DataFram
     """The rows with ``_hot`` set for those of groups above ``hot_rows``, and these rows alone."""
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     # at most (all rows / hot_rows) groups can be hot
-    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(*groups, F.lit(True).alias("_hot")))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*groups, F.lit(True).alias("_hot"))
     return df.join(hot, groups, "left"), df.join(hot, groups)
 
 

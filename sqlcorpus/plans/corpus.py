@@ -16,11 +16,12 @@ from sqlcorpus.schemas import (
 )
 from sqlcorpus.sinks.files import export_datasets, write_routed
 from sqlcorpus.sinks.tables import create_table, replace_table
-from sqlcorpus.sources.discover import LARGE_FILE, Shape, discover_sources, group_by_shape
+from sqlcorpus.sources.discover import Shape, discover_sources, group_by_shape
 from sqlcorpus.sources.files import PROVENANCE, read_csv, read_json, read_jsonl, read_parquet
 from sqlcorpus.sources.large_csv import read_large_csv
 
 STORED = ("class", "folder", "source")
+KNOWN = ("csv", "json", "jsonl", "parquet")
 PLACE = ("_path", "_block", "_row")
 
 
@@ -42,11 +43,13 @@ def _origin(save: str) -> list[Column]:
 
 def normalize_sources(
     spark: SparkSession, root: str, exclude: tuple[str, ...] = ("raw",), save: str = "jsonl",
-    large_from: int = LARGE_FILE,
+    large_from: int | None = None,
 ) -> DataFrame:
     """Canonical rows of every file below ``root``, one scan per file shape."""
     frames = []
     for shape, paths in group_by_shape(spark, discover_sources(spark, root, exclude), large_from).items():
+        if not shape.columns and shape.fmt in KNOWN:
+            raise ValueError(f"no columns found in {paths}: empty, or not of format {shape.fmt!r}")
         if not shape.columns:
             warnings.warn(f"skipped {len(paths)} file(s) of format {shape.fmt!r}", stacklevel=2)
             continue

@@ -45,6 +45,7 @@ ins AS (
 )"""
 
 _C, _A = "replace(context, '\"', '''')", "replace(answer, '\"', '''')"
+# The prompt texts are the format.
 GEN_TEXTS = {
     "text_generation": "question || ' ' || context || ' ' || answer",
     "text_completition":
@@ -98,6 +99,7 @@ placed AS (
   SELECT *, CAST(250 * row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS BIGINT) AS x FROM losses
 )"""
 
+# The borders of the bands.
 BANDS = LOSSES + """,
 least AS (SELECT run, min(loss) AS "min" FROM losses GROUP BY run),
 members AS (

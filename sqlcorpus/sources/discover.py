@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcorpus.sources.files import csv_header, json_columns, parquet_columns
 
-# CSV files from this size on are split between tasks.
-LARGE_FILE = 1 << 30
-
 
 def discover_sources(
     spark: SparkSession, root: str, exclude: tuple[str, ...] = (), skip_extensions: tuple[str, ...] = ("sqlite",)
@@ -48,10 +45,12 @@ class Shape:
     large: bool = False  # too big for a reader that takes a file as a whole
 
 
-def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int = LARGE_FILE) -> dict[Shape, list[str]]:
+def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int | None = None) -> dict[Shape, list[str]]:
     """The paths of each shape, so that the number of scans is that of shapes, not of files.
 
-    Works on file names and headers. Files of unknown format have no columns.
+    Works on file names and headers. Files of unknown format have no columns. One reader takes CSV
+    files of every size, unless the caller names a size from which on they are split between tasks;
+    that reader wants LF line ends and quotes in quoted cells only.
     """
     sizes: dict[str, dict[str, int]] = {}
     for row in sources.select("path", "ext", "length").orderBy("path").collect():
@@ -59,7 +58,7 @@ def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int = LA
     shapes: dict[Shape, list[str]] = {}
     for ext, files in sizes.items():
         for path, columns in _columns(spark, ext, list(files)).items():
-            large = ext == "csv" and files[path] >= large_from
+            large = ext == "csv" and large_from is not None and files[path] >= large_from
             shapes.setdefault(Shape(ext, columns, large), []).append(path)
     return shapes
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sqlcorpus.operators.normalize import column
 from sqlcorpus.schemas import CSV_NA_TOKENS
@@ -11,6 +11,11 @@ from sqlcorpus.schemas import CSV_NA_TOKENS
 PROVENANCE = ("_path", "_file", "_block", "_row")
 
 
+def decoded(name: str) -> Column:
+    """A path or file name of a scan as it is in the folder; scans give it percent-encoded."""
+    return F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
+
+
 def with_provenance(df: DataFrame) -> DataFrame:
     """Add path, file name, split start and a number that grows along the split.
 
@@ -18,8 +23,8 @@ def with_provenance(df: DataFrame) -> DataFrame:
     """
     return df.select(
         "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("_file"),
+        decoded("_metadata.file_path").alias("_path"),
+        decoded("_metadata.file_name").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -96,7 +101,7 @@ def _read_ordered(
         if len(found) != 1:
             raise ValueError(f"files of one scan must share their keys, found {sorted(found)}")
         columns = list(found.pop())
-    df = spark.read.schema(text_schema(list(columns))).json(paths, multiLine=fmt == "json")
+    df = spark.read.schema(text_schema(list(columns))).json(paths, multiLine=fmt == "json", mode="FAILFAST")
     return _finish(df, provenance)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sqlcorpus.sources.files import decoded
 from sqlcorpus.functions import table_name
 from sqlcorpus.operators.consolidate import unite
 from sqlcorpus.operators.curves import unpivot_curves
@@ -34,7 +35,7 @@ def curve_source(spark: SparkSession, paths: list[str], skip: tuple[str, ...] =
         wide = raw.select(
             F.col("Step").cast("long").alias("step"),
             *(F.col(f"`{name}`").cast("double").alias(name) for name in losses),
-            table_name(F.col("_metadata.file_name")).alias("project"),
+            table_name(decoded("_metadata.file_name")).alias("project"),
         )
         sheets.append(unpivot_curves(wide, ["step", "project"], F.col("project")).select("run", "step", "loss"))
     return unite(sheets)
@@ -49,7 +50,7 @@ def score_sheets(spark: SparkSession, paths: str | list[str], criteria: dict[str
     """(criterion, model, score) from one sheet per criterion, named by the file's stem."""
     pairs = [F.lit(part) for item in (criteria or CRITERIA).items() for part in item]
     sheets = spark.read.schema("_c0 INT, Model STRING, Score INT").csv(paths, header=True)
-    stem = table_name(F.col("_metadata.file_name"))
+    stem = table_name(decoded("_metadata.file_name"))
     return sheets.select(
         F.coalesce(F.try_element_at(F.create_map(*pairs), stem), stem).alias("criterion"),
         F.col("Model").alias("model"), F.col("Score").alias("score"),

@@ -139,3 +139,29 @@ def test_run_records_and_score_sheets(spark, tmp_path, rows):
     put(tmp_path / "own.csv", ",Model,Score\n0,m1,2\n")
     found = score_sheets(spark, [str(tmp_path / "tabla_correcta.csv"), str(tmp_path / "own.csv")])
     assert rows(found) == [("own", "m1", 2), ("right_table", "m1", 9), ("right_table", "m2", 10)]
+
+
+def test_names_are_kept_as_they_are(spark, tmp_path):
+    from sqlcorpus.plans.corpus import normalize_sources
+
+    (tmp_path / "f").mkdir()
+    put(tmp_path / "f" / "a b.csv", "q,c,a\n1,2,3\n")
+    put(tmp_path / "f" / "a%20b.jsonl", '{"question": "1", "context": "2", "answer": "3"}\n')
+    put(tmp_path / "f" / "a#b+c.json", '[{"question": "1", "context": "2", "answer": "3"}]')
+    found = normalize_sources(spark, str(tmp_path)).select("source", "folder").collect()
+    assert sorted(map(tuple, found)) == [("a b.jsonl", "f"), ("a#b+c.jsonl", "f"), ("a%20b.jsonl", "f")]
+
+
+def test_broken_lines_are_an_error(spark, tmp_path):
+    broken = put(tmp_path / "x.jsonl", '{"question": "1"}\n{"question": \n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|alformed"):
+        read_jsonl(spark, broken, ["question"]).collect()
+
+
+def test_a_file_without_columns_is_an_error(spark, tmp_path):
+    from sqlcorpus.plans.corpus import normalize_sources
+
+    (tmp_path / "f").mkdir()
+    put(tmp_path / "f" / "blank.jsonl", "\n")
+    with pytest.raises(ValueError, match="no columns"):
+        normalize_sources(spark, str(tmp_path))
