@@ -102,6 +102,26 @@ def position_in_many(
     return _place(df, sliced, starts, groups, ["_slice"], order, name, None, "left")
 
 
+def following(
+    df: DataFrame, groups: list[str], key: str, name: str, hot_rows: int = HOT_ROWS, cuts: int = CUTS
+) -> DataFrame:
+    """Add the next greater ``key`` of the group (null for its last); for many groups of any size.
+
+    ``key`` is numeric, not null and unique in its group. Only hot groups are cut.
+    """
+    marked, hot = _mark_hot(df, groups, hot_rows)
+    (slice_,) = _slices(df, [F.col(key)], cuts)
+    sliced = marked.select(*df.columns, F.when(F.col("_hot"), slice_).otherwise(0).alias("_slice"))
+    # the last of a slice is followed by the first of the group's next slice
+    firsts = hot.select(*groups, key, slice_.alias("_slice")).groupBy(*groups, "_slice").agg(F.min(key).alias("_first"))
+    nexts = firsts.select(*groups, "_slice", F.lead("_first").over(W.partitionBy(*groups).orderBy("_slice")).alias("_next"))
+    inside = F.lead(key).over(W.partitionBy(*groups, "_slice").orderBy(key))
+    return (
+        sliced.select("*", inside.alias("_inside")).join(nexts, [*groups, "_slice"], "left")
+        .select(*df.columns, F.coalesce("_inside", "_next").alias(name))
+    )
+
+
 def nested_position(
     df: DataFrame,
     groups: list[str],

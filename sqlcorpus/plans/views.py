@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcorpus.operators.consolidate import unite
-from sqlcorpus.operators.ordering import group_bases, nested_position, position
+from sqlcorpus.operators.ordering import following, group_bases, nested_position, position
 from sqlcorpus.plans.templates import SYSTEM_PROMPT
 from sqlcorpus.schemas import GENERATION, INSTRUCT, MISSING
 
@@ -48,9 +48,10 @@ class Given:
         self.table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def pairs(self, placed: DataFrame | None = None) -> DataFrame:
-        """(conv_id, turn, q, a, c): each user turn, the answer right after it, the system text.
+        """(conv_id, turn, q, a, c): each user turn, the answer if the next turn is one, the system text.
 
-        Every text is moved once, by (conversation, turn), which is unique: a
+        Turns are unique in a conversation and may have gaps. Of the turns only keys
+        are put in order; every text is then moved by (conversation, turn), so that a
         conversation that holds most of the rows is still spread over all tasks. The
         system text meets bare keys first, so that the turns are not moved by
         conversation. ``placed`` adds columns by the same key.
@@ -58,9 +59,10 @@ class Given:
         key = ["conv_id", "turn"]
         turns = self.table("conversations")
         asked = turns.filter("role = 'user'").select(*key, F.col("text").alias("q"))
-        answered = turns.filter("role = 'assistant'").select(
-            "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a")
-        )
+        after = following(turns.select(*key, "role"), ["conv_id"], "turn", "next").filter("role = 'user'").select(
+            "conv_id", F.col("turn").alias("asked"), F.col("next").alias("turn"))
+        answered = turns.filter("role = 'assistant'").select(*key, F.col("text").alias("a")).join(after, key).select(
+            "conv_id", F.col("asked").alias("turn"), "a")
         system = turns.filter("role = 'system'").select("conv_id", F.col("text").alias("c"))
         contexts = self._asked().join(system, "conv_id")
         joined = asked.join(answered, key, "left").join(contexts, key, "left")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus.operators.ordering import (
-    descending_rank, group_bases, nested_position, position, position_in_many, running_total,
+    descending_rank, following, group_bases, nested_position, position, position_in_many, running_total,
 )
 
 
@@ -59,6 +59,14 @@ def test_running_total(spark, cuts):
     assert (got["t"] == got["w"].cumsum() - got["w"]).all()
 
 
+@pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
+@pytest.mark.parametrize("cuts", [7, 1 << 16])
+def test_following(spark, hot_rows, cuts):
+    got = following(frame(spark), ["g"], "k", "next", hot_rows, cuts).toPandas().sort_values(["g", "k"])
+    want = got.groupby("g")["k"].shift(-1)
+    assert (got["next"].isna() == want.isna()).all() and (got["next"].dropna() == want.dropna()).all() and len(got) == 601
+
+
 def test_descending_rank_shares_ties(spark, rows):
     df = spark.createDataFrame([("a", 5), ("b", 7), ("c", 5), ("d", 1), ("e", 7)], "m string, s int")
     assert rows(descending_rank(df, "s", "r"), "m", "r") == [("a", 3), ("b", 1), ("c", 3), ("d", 5), ("e", 1)]
