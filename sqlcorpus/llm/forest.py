@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus.llm.components import components
 from sqlcorpus.llm.tables import stage
@@ -106,6 +106,17 @@ def compare_leaf(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "root": root, "links": links})
 
 
+def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each vector's place along a direction that belongs to its leaf alone (a leaf belongs to one tree)."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        x, value = np.stack([np.asarray(v, np.float64) for v in frame["embedding"]]), np.zeros(len(frame))
+        for leaf, at in frame.groupby("leaf").indices.items():
+            value[at] = x[at] @ direction(97, int(leaf), x.shape[1])
+        yield frame[["leaf", "node"]].assign(value=value)
+
+
 def split_leaves(rows: DataFrame, dims: int, spill: float) -> DataFrame:
     """Splits leaves of over ``MOST`` vectors until there are none, or none gets smaller."""
     before = None
@@ -115,15 +126,17 @@ def split_leaves(rows: DataFrame, dims: int, spill: float) -> DataFrame:
         if not state[0] or tuple(state) == before:
             break
         before = tuple(state)
-        way = F.array(*[F.lit(float(v)) for v in direction(97, again, dims)])
-        large = rows.join(sizes.select("leaf"), "leaf").withColumn("value", F.aggregate(
-            F.zip_with("embedding", way, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v))
+        large = stage(rows.join(sizes.select("leaf"), "leaf").select("leaf", "node", "embedding").mapInPandas(project, "leaf long, node long, value double"))
         borders = large.groupBy("leaf").agg(F.percentile_approx("value", F.lit(0.5), F.lit(1000)).alias("border"), F.stddev_pop("value").alias("sd"))
         step = F.col("value") - F.col("border")
+
+        def child(side: int) -> Column:  # compare_leaf takes leaves below 0 for none
+            return F.xxhash64("leaf", F.lit(again), F.lit(side)).bitwiseAND(F.lit(2**63 - 1))
+
         sides = F.filter(F.array(
-            F.when(step <= spill * F.col("sd"), F.xxhash64("leaf", F.lit(again), F.lit(0))),
-            F.when(step > -spill * F.col("sd"), F.xxhash64("leaf", F.lit(again), F.lit(1)))), lambda s: s.isNotNull())
-        halves = large.join(borders, "leaf").withColumn("leaf", F.explode(sides)).select(*rows.columns)
+            F.when(step <= spill * F.col("sd"), child(0)),
+            F.when(step > -spill * F.col("sd"), child(1))), lambda s: s.isNotNull())
+        halves = rows.join(large.join(borders, "leaf"), ["leaf", "node"]).withColumn("leaf", F.explode(sides)).select(*rows.columns)
         rest = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(*rows.columns)
         rows = stage(rest.unionByName(halves))
     return rows

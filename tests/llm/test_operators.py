@@ -180,6 +180,19 @@ def test_large_leaves_are_split(spark, monkeypatch):
     assert {r["component_id"] for r in found} == {0}
 
 
+def leaf_rows(spark, vectors, leaves):
+    rows = [(n, leaf, v.tolist(), 1) for leaf in leaves for n, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "node long, leaf long, embedding array<double>, copies long")
+
+
+def test_trees_split_large_leaves_in_different_ways(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MOST", 120)
+    vectors = np.random.default_rng(9).normal(size=(200, 16))
+    split = forest.split_leaves(leaf_rows(spark, vectors, [1, 1 << 40]), 16, 0.0).toPandas()
+    parts = split.groupby("leaf")["node"].apply(frozenset)
+    assert len(parts) == 4 and len(set(parts)) == 4 and (split["leaf"] >= 0).all()
+
+
 def test_pieces_equal_the_library(docs, odd):
     proto = queries.piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=proto)
