@@ -107,11 +107,11 @@ def compare_leaf(frame: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each vector's place along a direction that belongs to its leaf alone (a leaf belongs to one tree)."""
+    """Each unit vector's place along a direction that belongs to its leaf alone (a leaf belongs to one tree)."""
     for frame in frames:
         if not len(frame):
             continue
-        x, value = np.stack([np.asarray(v, np.float64) for v in frame["embedding"]]), np.zeros(len(frame))
+        x, value = unit_rows(frame["embedding"].tolist()), np.zeros(len(frame))
         for leaf, at in frame.groupby("leaf").indices.items():
             value[at] = x[at] @ direction(97, int(leaf), x.shape[1])
         yield frame[["leaf", "node"]].assign(value=value)

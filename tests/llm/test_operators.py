@@ -193,6 +193,14 @@ def test_trees_split_large_leaves_in_different_ways(spark, monkeypatch):
     assert len(parts) == 4 and len(set(parts)) == 4 and (split["leaf"] >= 0).all()
 
 
+def test_large_leaves_keep_multiples_together(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MOST", 120)
+    vectors = np.random.default_rng(10).normal(size=(100, 16))
+    split = forest.split_leaves(leaf_rows(spark, np.r_[vectors, vectors * 10], [1]), 16, 0.01).toPandas()
+    leaves = split.groupby("node")["leaf"].apply(set)
+    assert split["leaf"].nunique() == 2 and all(leaves[n] & leaves[100 + n] for n in range(100))
+
+
 def test_pieces_equal_the_library(docs, odd):
     proto = queries.piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=proto)
