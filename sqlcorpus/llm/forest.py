@@ -3,7 +3,9 @@
 Each tree splits the vectors again and again near the median of a random projection; vectors
 close to a border go to both sides. Vectors are compared with those in their leaves only, links are
 verified in double precision and joined to components. A pair that meets in several leaves is
-counted in the first of them, which both ends know from their lists of leaves.
+counted in the first of them, which both ends know from their lists of leaves. The margin follows
+from the distance at the least cosine where a leaf is narrow; leaves that are too dense to split are
+compared whole, block by block, each block with each.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from sqlcorpus.llm.tables import stage
 
 TREES = 12
 LEAF = 256  # vectors that a leaf should hold
-MOST = 2048  # vectors in a leaf above which it is split further
+MOST = 2048  # vectors in a leaf above which it is split further, and in a block of a leaf that is dense
+DENSE = 0.7  # share of a leaf on one side from which on blocks, each with each, copy less than more splits
 SPILL = 0.1  # standard deviations around a border within which a vector goes to both sides
 SAMPLE = 8192  # vectors that the first borders are taken from
 ROUNDS = 40
@@ -37,73 +40,117 @@ def direction(tree: int, level: int, dims: int) -> np.ndarray:
     return way / np.linalg.norm(way)
 
 
-def grow(sample: np.ndarray, depth: int, trees: int, spill: float) -> list[list[tuple[np.ndarray, float]]]:
-    """For each tree and level: the border of every node (left to right), and the margin around it."""
+def margin_of(ratio: float, spill: float) -> float:
+    """Standard deviations of a leaf within which vectors spill, at least ``spill``.
+
+    ``ratio`` is the spread, along a direction, of pairs that are just linked, over the leaf's own.
+    This margin keeps the chance that a split cuts such a pair near 0.08 for ratios of up to 1.3.
+    """
+    return max(spill, 0.45 * ratio * ratio)
+
+
+def pair_spread(dims: int, least: float) -> float:
+    """Standard deviation, along a random direction, of the difference of two unit vectors with cosine ``least``."""
+    return math.sqrt(max(0.0, 2 - 2 * least) / dims)
+
+
+def trees_for(total: int, trees: int) -> int:
+    """More trees where so many splits are needed that pairs with the least cosine would be cut in most of ``trees``."""
+    splits = math.log2(max(1, total / LEAF)) if total <= SAMPLE * 32 else 10 + max(0.0, math.log(total / 1024 / MOST) / math.log(1 / 0.54))
+    return max(trees, math.ceil(math.log(0.03) / math.log(1 - 0.92 ** max(1.0, splits))))
+
+
+def grow(sample: np.ndarray, depth: int, trees: int, spill: float, least: float) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each tree and level: the border of every node (left to right), and the margin around it.
+
+    Dense nodes have no border: they stay whole, on the low side.
+    """
     forest = []
     for tree in range(trees):
         at = np.zeros(len(sample), np.int64)
         levels = []
         for level in range(depth):
             value = sample @ direction(tree, level, sample.shape[1]) if len(sample) else np.zeros(0)
+            spread, all_sd = pair_spread(sample.shape[1], least), float(value.std()) if len(value) else 0.0
             borders = np.full(1 << level, float(np.median(value)) if len(value) else 0.0)
+            margins = np.full(1 << level, spill * all_sd)
             order = np.lexsort((value, at))
             cuts = np.searchsorted(at[order], np.arange((1 << level) + 1))
             for node in np.flatnonzero(np.diff(cuts)):
-                borders[node] = np.median(value[order[cuts[node] : cuts[node + 1]]])
-            levels.append((borders, float(spill * value.std()) if len(value) else 0.0))
+                mine = value[order[cuts[node] : cuts[node + 1]]]
+                borders[node] = np.median(mine)
+                if len(mine) < 8:  # too few to tell how dense they are
+                    continue
+                sd = float(mine.std())
+                margins[node] = max(spill * all_sd, margin_of(spread / sd, spill) * sd) if sd else math.inf
+                if max((mine - borders[node] <= margins[node]).mean(), (mine - borders[node] > -margins[node]).mean()) > DENSE:
+                    borders[node] = math.inf
+            levels.append((borders, margins))
             at = at * 2 + (value > borders[at])
         forest.append(levels)
     return forest
 
 
-def leaves(x: np.ndarray, levels: list[tuple[np.ndarray, float]], tree: int) -> tuple[np.ndarray, np.ndarray]:
+def leaves(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], tree: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and leaf of every vector, once for each leaf that it spills into."""
     row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for level, (borders, margin) in enumerate(levels):
-        value = (x @ direction(tree, level, x.shape[1]))[row] - borders[at]
-        low, high = value <= margin, value > -margin
+    for level, (borders, margins) in enumerate(levels):
+        whole = np.isinf(borders[at])
+        value, margin = (x @ direction(tree, level, x.shape[1]))[row] - borders[at], margins[at]
+        low, high = whole | (value <= margin), ~whole & (value > -margin)
         row, at = np.r_[row[low], row[high]], np.r_[at[low] * 2, at[high] * 2 + 1]
     return row, at
 
 
+def met_before(lists: np.ndarray, here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` (down) and ``b`` (across) share a leaf with a smaller number than ``here``."""
+    found = np.zeros((len(a), len(b)), bool)
+    earlier = [np.unique(part[(part >= 0) & (part < here)]) for part in (lists[a], lists[b])]
+    shared = np.intersect1d(*earlier)
+    for lo in range(0, len(shared), 512):
+        some = shared[lo : lo + 512]
+        sides = []
+        for rows in (a, b):
+            place = np.minimum(np.searchsorted(some, lists[rows]), len(some) - 1)
+            r, c = np.nonzero(some[place] == lists[rows])
+            member = np.zeros((len(rows), len(some)), np.float32)
+            member[r, place[r, c]] = 1
+            sides.append(member)
+        found |= (sides[0] @ sides[1].T) > 0
+    return found
+
+
 def compare_leaf(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Per vector of one leaf: ``root`` of its links here, and links first met here (copies of ends counted)."""
+    """Per vector of one leaf, or of two blocks of it: ``root`` of its links here, and links first met here (copies of ends counted)."""
     frame = frame.sort_values("node")
     node, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
-    here = int(frame["leaf"].iloc[0])
+    here, i, j = (int(frame[c].iloc[0]) for c in ("leaf", "i", "j"))
     x = unit_rows(frame["embedding"].tolist())
     width = max(len(v) for v in frame["all_leaves"])
     lists = np.full((len(node), width), -1, np.int64)
     for k, v in enumerate(frame["all_leaves"]):
         lists[k, : len(v)] = v
-    links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    for start in range(0, len(node), 512):
-        near = (x[start : start + 512] @ x.T) >= least
-        a, b = np.nonzero(near)
-        a += start
-        a, b = a[a < b], b[a < b]
-        for lo in range(0, len(a), 20_000):
-            i, j = a[lo : lo + 20_000], b[lo : lo + 20_000]
-            same = np.zeros(len(i), bool)
-            for col in range(width):  # a leaf with a smaller number that both are in
-                mine = lists[i, col]
-                early = (mine >= 0) & (mine < here) & ~same
-                if early.any():
-                    same[early] = (lists[j[early]] == mine[early, None]).any(1)
-            np.add.at(links, i[~same], copies[j[~same]])
-            np.add.at(links, j[~same], copies[i[~same]])
-        for i, j in zip(a.tolist(), b.tolist()):
-            p, q = top(i), top(j)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    root = np.array([node[top(k)] for k in range(len(node))], np.int64) if len(node) else node
-    return pd.DataFrame({"node": node, "root": root, "links": links})
+    side = frame["side"].to_numpy()
+    down, across = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    for start in range(0, len(down), 512):
+        a = down[start : start + 512]
+        near = (x[a] @ x[across].T) >= least
+        if i == j:
+            near &= a[:, None] < across
+        rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(rows):
+            continue
+        a, b, near = a[rows], across[columns], near[np.ix_(rows, columns)]
+        first = near & ~met_before(lists, here, a, b)
+        links[a] += first @ copies[b]
+        links[b] += copies[a] @ first
+        for k, row in zip(a.tolist(), near):
+            ends = label[b[row]]
+            low, high = min(ends.min(), label[k]), max(ends.max(), label[k])
+            if low != high:
+                label[np.isin(label, np.append(ends, label[k]))] = low
+    return pd.DataFrame({"node": node, "root": node[label], "links": links})
 
 
 def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,29 +164,40 @@ def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["leaf", "node"]].assign(value=value)
 
 
-def split_leaves(rows: DataFrame, dims: int, spill: float) -> DataFrame:
-    """Splits leaves of over ``MOST`` vectors until there are none, or none gets smaller."""
-    before = None
+def split_leaves(rows: DataFrame, dims: int, spill: float, least: float = 0.9) -> DataFrame:
+    """Splits leaves of over ``MOST`` vectors until there are none, or those left are dense and stay whole."""
+    done = None
     for again in range(ROUNDS):
-        sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST)
-        state = sizes.agg(F.count(F.lit(1)), F.sum("m")).first()
-        if not state[0] or tuple(state) == before:
+        sizes = stage(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST))
+        if sizes.isEmpty():
             break
-        before = tuple(state)
         large = stage(rows.join(sizes.select("leaf"), "leaf").select("leaf", "node", "embedding").mapInPandas(project, "leaf long, node long, value double"))
         borders = large.groupBy("leaf").agg(F.percentile_approx("value", F.lit(0.5), F.lit(1000)).alias("border"), F.stddev_pop("value").alias("sd"))
         step = F.col("value") - F.col("border")
+        margin = F.greatest(F.lit(spill) * F.col("sd"), F.lit(0.45 * pair_spread(dims, least) ** 2) / F.col("sd"))  # as margin_of
+        margin = F.when(F.col("sd") > 0, margin).otherwise(float("inf"))
 
         def child(side: int) -> Column:  # compare_leaf takes leaves below 0 for none
             return F.xxhash64("leaf", F.lit(again), F.lit(side)).bitwiseAND(F.lit(2**63 - 1))
 
-        sides = F.filter(F.array(
-            F.when(step <= spill * F.col("sd"), child(0)),
-            F.when(step > -spill * F.col("sd"), child(1))), lambda s: s.isNotNull())
-        halves = rows.join(large.join(borders, "leaf"), ["leaf", "node"]).withColumn("leaf", F.explode(sides)).select(*rows.columns)
-        rest = rows.join(sizes.select("leaf"), "leaf", "left_anti").select(*rows.columns)
-        rows = stage(rest.unionByName(halves))
-    return rows
+        sided = large.join(borders, "leaf").select("leaf", "node", (step <= margin).alias("low"), (step > -margin).alias("high"))
+        shares = sided.groupBy("leaf").agg(F.greatest(F.avg(F.col("low").cast("int")), F.avg(F.col("high").cast("int"))).alias("share"))
+        cut = stage(shares.where(F.col("share") <= DENSE).select("leaf"))
+        sides = F.filter(F.array(F.when(F.col("low"), child(0)), F.when(F.col("high"), child(1))), lambda s: s.isNotNull())
+        halves = rows.join(sided.join(cut, "leaf"), ["leaf", "node"]).withColumn("leaf", F.explode(sides)).select(*rows.columns)
+        rest = rows.join(cut, "leaf", "left_anti").select(*rows.columns)
+        done = rest if done is None else done.unionByName(rest)
+        rows = stage(halves)
+    return rows if done is None else done.unionByName(rows)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Vectors of leaves of over ``MOST`` once for each other block of the leaf: ``side`` is a vector's own, ``i`` <= ``j`` are those that meet."""
+    sizes = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "other")).withColumn(
+        "j", F.greatest("side", "other")).drop("blocks", "other")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
@@ -163,7 +221,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
     depth = max(0, math.ceil(math.log2(max(1, min(total, SAMPLE * 32) / leaf))))
     drawn = nodes.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
     sample = unit_rows([r[0] for r in drawn]) if drawn else np.zeros((0, dims))
-    model = nodes.sparkSession.sparkContext.broadcast(grow(sample, depth, trees, spill))
+    model = nodes.sparkSession.sparkContext.broadcast(grow(sample, depth, trees_for(total, trees), spill, least))
 
     def drop_down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -177,14 +235,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
     placed = nodes.select("node", "embedding").mapInPandas(drop_down, "node long, leaf long")
     kind = dict(nodes.dtypes)["embedding"]
     rows = stage(placed.join(nodes.select("node", "embedding", "copies"), "node").select("node", "leaf", "embedding", "copies"))
-    rows = split_leaves(rows, dims, spill)
+    rows = split_leaves(rows, dims, spill, least)
     lists = rows.groupBy("node").agg(F.collect_list("leaf").alias("all_leaves"))  # some dozens for each vector
     full = rows.join(lists, "node").select("leaf", "node", "copies", F.col("embedding").cast(kind), "all_leaves")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         return compare_leaf(frame, least)
 
-    found = stage(full.groupBy("leaf").applyInPandas(compare, "node long, root long, links long"))
+    found = stage(in_blocks(full).groupBy("leaf", "i", "j").applyInPandas(compare, "node long, root long, links long"))
     linked = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = nodes.join(counts, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))

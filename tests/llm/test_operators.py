@@ -201,6 +201,16 @@ def test_large_leaves_keep_multiples_together(spark, monkeypatch):
     assert split["leaf"].nunique() == 2 and all(leaves[n] & leaves[100 + n] for n in range(100))
 
 
+def test_links_of_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MOST", 40)
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[rng.normal(size=32) * 0.2 + 1 + rng.normal(size=(600, 32)) * 0.3, rng.normal(size=(200, 32))])]
+    count = np.bincount(np.array(list(brute.vector_links(rows))).ravel(), minlength=len(rows))
+    found = {r["vec_id"]: r["n_links"] for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), trees=3).collect()}
+    assert sum(found.values()) >= 0.9 * count.sum() > 10_000
+    assert all(found[i] <= c for i, c in enumerate(count))
+
+
 def test_pieces_equal_the_library(docs, odd):
     proto = queries.piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=proto)
