@@ -1,8 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's signature has ``SYMBOLS`` symbols of 16 bits, one for each of as many min-wise
-hashes of its shingle set. Signatures that differ in at most ``RADIUS`` symbols are found by
-pigeonhole: of ``CHUNKS`` chunks, one differs in at most RADIUS // CHUNKS = 1 symbol, so each chunk
+hashes of its shingle set. Signatures that differ in at most a radius of symbols, 2 * chunks - 1, are
+found by pigeonhole: one of the chunks differs in at most radius // chunks = 1 symbol, so each chunk
 is entered once for each symbol left out, and two documents share an entry. Entries are tied to
 their smallest document; within the clusters so made, signatures are compared and links confirmed
 on the full sets, nearest pairs first, skipping pairs already connected.
@@ -10,6 +10,7 @@ on the full sets, nearest pairs first, skipping pairs already connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,19 @@ from sqlcorpus.llm.tables import ID, given_id, identified, quoted, small_batches
 
 SHINGLE = 5
 SYMBOLS, CHUNKS = 64, 10
-RADIUS = 2 * CHUNKS - 1
+RADIUS = 2 * CHUNKS - 1  # for 85 per cent
 FLIP, FACTOR = random_words(SYMBOLS, 21), random_words(SYMBOLS, 22) | U(1)
-PLACE = random_words(SYMBOLS * (CHUNKS + 1), 23)
-SHARES = [list(map(int, part)) for part in np.array_split(np.arange(SYMBOLS), CHUNKS)]
+PLACE = random_words(SYMBOLS * (SYMBOLS + 1), 23)
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2048  # what one side of a comparison holds
 
 
+def chunks_for(least: int) -> int:
+    """Chunks whose radius, twice as many less one, misses about one in a thousand pairs that are exactly at ``least``."""
+    p = (100 - least) / 100
+    chance = [math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(SYMBOLS + 1)]
+    return next(c for c in range(1, SYMBOLS + 1) if sum(chance[2 * c :]) < 0.002)
+
+
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of the shingles of each text (A-Z lower-cased)."""
     _, _, _, words, first = words_of([t.translate(LOWER) for t in texts])
@@ -71,14 +78,15 @@ def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "h1": h1.view(np.int64), "h2": h2.view(np.int64), "sign": sign})
 
 
-def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def entries(frames: Iterator[pd.DataFrame], chunks: int = CHUNKS) -> Iterator[pd.DataFrame]:
     """Each chunk of each signature once for every symbol left out, as a 64-bit key."""
+    shares = [list(map(int, part)) for part in np.array_split(np.arange(SYMBOLS), chunks)]
     for frame in frames:
         if not len(frame):
             continue
         sign = np.stack([np.frombuffer(s, np.uint16) for s in frame["sign"]]).astype(np.uint64)
         keys = []
-        for c, places in enumerate(SHARES):
+        for c, places in enumerate(shares):
             terms = mix(sign[:, places] + PLACE[places])
             total = terms.sum(1, dtype=np.uint64)
             keys += [mix(total - terms[:, p] + PLACE[SYMBOLS * (1 + c) + places[p] % SYMBOLS]) for p in range(len(places))]
@@ -95,6 +103,7 @@ def link_block(frame: pd.DataFrame, least: int) -> list[tuple[int, int]]:
     sign = np.stack([np.frombuffer(s, np.uint16) for s in frame["sign"]])
     crossing = bool(frame["i"].iloc[0] != frame["j"].iloc[0])
     side = frame["side"].to_numpy()
+    radius = 2 * chunks_for(least) - 1
     pairs = []
     for a in range(len(node) - 1):
         rest = np.arange(a + 1, len(node))
@@ -104,7 +113,7 @@ def link_block(frame: pd.DataFrame, least: int) -> list[tuple[int, int]]:
         rest = rest[100 * np.minimum(size[a], size[rest]) >= least * np.maximum(size[a], size[rest])]
         if len(rest):
             apart = (sign[rest] != sign[a]).sum(1)
-            near = apart <= RADIUS
+            near = apart <= radius
             pairs.append(np.stack([apart[near], np.full(near.sum(), a), rest[near]], 1))
     if not pairs:
         return []
@@ -132,8 +141,8 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
     """``doc_id``, ``key``, ``n_shingles``, ``component_id``, ``kept``, one row per document.
 
     Linked are documents whose shingle sets meet in at least ``least`` per cent of their union
-    (confirmed on full sets; the signature radius misses about one in a thousand pairs that are
-    exactly at 85, hardly any above 88). Equal sets are one node, so copies never make pairs.
+    (confirmed on full sets; the signature radius follows from ``least`` and misses about one in a
+    thousand pairs that are exactly at it, hardly any three above). Equal sets are one node, so copies never make pairs.
     Empty and null texts are linked with nothing; a null doc_id counts after all others as
     smallest id, and is null where no other is reachable. Repeated rows are linked like any
     copies. Clusters that are large are compared block by block, each block against each.
@@ -147,7 +156,12 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
             F.min(F.struct(*ID)).alias("first"), F.first("sign").alias("sign"))
         .withColumn("node", F.monotonically_increasing_id()))
 
-    index = nodes.select("node", "sign").mapInPandas(entries, "entry long, node long")
+    chunks = chunks_for(least)
+
+    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return entries(frames, chunks)
+
+    index = nodes.select("node", "sign").mapInPandas(enter, "entry long, node long")
     hubs = index.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     ties = stage(index.join(hubs, "entry").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     clusters = stage(components(ties))

@@ -1,10 +1,11 @@
 """The pipeline's stages one after another, each against what it says."""
 
+import brute
 import corpus_pipeline
 import __spark_entry__ as contract
 from oracle_check import database, differs
 import pytest
-from sqlcorpus.llm import queries
+from sqlcorpus.llm import minhash, queries
 
 
 def test_registered():
@@ -30,6 +31,20 @@ def test_stages(spark, odd, tmp_path):
     assert docs.count() > 0
 
 
+def test_near_copies_from_80_per_cent_on_go(spark):
+    """Texts of 104 words, 100 shingles: a change of the last n words takes n of them from either side."""
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(104)]
+        for n in (0, 11, 13):  # 89/111 = 0.802, 87/113 = 0.770
+            rows.append((100 * k + n, " ".join(words[: 104 - n] + [f"z{k}y{n}v{i}" for i in range(n)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(d for d, _, _, kept in brute.near_duplicates(rows, 80) if kept)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left == want and len(want) == 40
+    assert [minhash.chunks_for(p) for p in (85, 80)] == [minhash.CHUNKS, 12]
+
+
 def test_run(spark, given):
     rows = corpus_pipeline.run(spark, given)
     assert 0 < rows.count() < 3 * spark.read.parquet(f"{given}/documents.parquet").count()
