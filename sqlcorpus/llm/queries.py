@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlcorpus.llm import forest, langid, line_dedup, minhash, mixing, quality, sentence_pieces, substring_dedup, suffix_dedup, url_filter
+from sqlcorpus.llm import (
+    forest, langid, line_dedup, main_text, minhash, mixing, quality, repair, sentence_pieces, substring_dedup, suffix_dedup, url_filter,
+    whitening,
+)
+from sqlcorpus.llm.repair_sql import REPAIR_SQL
 
 PIECE_MODEL = "piece_bpe_32k.model"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -79,10 +83,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repair_conversations(rows, times="times"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_url_filter, op5_suffix_array_dedup,
-        op6_embedding_near_dedup, op7_sentence_pieces, op8_substring_dedup, op9_line_dedup, op10_language_id)}
+        op6_embedding_near_dedup, op7_sentence_pieces, op8_substring_dedup, op9_line_dedup, op10_language_id,
+        op11_conversation_repair, op12_main_text, op13_embedding_whitening)}
 
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -150,4 +168,4 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op4_url_filter": URL_SQL, "op9_line_dedup": LINE_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op4_url_filter": URL_SQL, "op9_line_dedup": LINE_SQL, "op11_conversation_repair": REPAIR_SQL}
