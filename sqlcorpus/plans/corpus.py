@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sqlcorpus.functions import processed_name, table_name
-from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of_class, unite
+from sqlcorpus.operators.consolidate import data_columns, from_source, index_in_file_order, of_class, unite
 from sqlcorpus.operators.normalize import column, normalize, with_kind
 from sqlcorpus.plans.templates import NAMED_SOURCES, SYSTEM_PROMPT, CorpusTables, dataset, datasets_long
 from sqlcorpus.schemas import (
@@ -19,21 +19,26 @@ from sqlcorpus.sinks.tables import create_table, replace_table
 from sqlcorpus.sources.discover import Shape, discover_sources, group_by_shape
 from sqlcorpus.sources.files import PROVENANCE, read_csv, read_json, read_jsonl, read_parquet
 from sqlcorpus.sources.large_csv import read_large_csv
+from sqlcorpus.sources.paths import check_all_read, literals
 
 STORED = ("class", "folder", "source")
 KNOWN = ("csv", "json", "jsonl", "parquet")
-PLACE = ("_path", "_block", "_row")
+PLACE = ("_path", "_block", "_row", "_lane", "_scan")
 
 
 def _read(spark: SparkSession, shape: Shape, paths: list[str]) -> DataFrame:
+    if shape.fmt == "json":
+        check_all_read(spark.read.text(literals(paths)), paths)  # the records are read from a copy
+        return read_json(spark, paths, list(shape.columns), provenance=True)
     if shape.large:
-        return read_large_csv(spark, paths, shape.columns, CSV_NA_TOKENS, provenance=True)
-    if shape.fmt == "csv":
-        return read_csv(spark, paths, provenance=True)
-    if shape.fmt == "parquet":
-        return read_parquet(spark, paths, provenance=True)
-    reader = read_json if shape.fmt == "json" else read_jsonl
-    return reader(spark, paths, list(shape.columns), provenance=True)
+        df = read_large_csv(spark, paths, shape.columns, CSV_NA_TOKENS, provenance=True)
+    elif shape.fmt == "csv":
+        df = read_csv(spark, paths, provenance=True, columns=shape.columns)
+    elif shape.fmt == "parquet":
+        df = read_parquet(spark, paths, provenance=True)
+    else:
+        df = read_jsonl(spark, paths, list(shape.columns), provenance=True)
+    return check_all_read(df, paths)
 
 
 def _origin(save: str) -> list[Column]:
@@ -45,7 +50,11 @@ def normalize_sources(
     spark: SparkSession, root: str, exclude: tuple[str, ...] = ("raw",), save: str = "jsonl",
     large_from: int | None = None,
 ) -> DataFrame:
-    """Canonical rows of every file below ``root``, one scan per file shape."""
+    """Canonical rows of every file below ``root``, one scan per file shape.
+
+    The files that the scans read are held against those found; a difference is an error. Columns of the
+    data that are named like the store's own are kept under a longer name, see ``shielded``.
+    """
     frames = []
     for shape, paths in group_by_shape(spark, discover_sources(spark, root, exclude), large_from).items():
         if not shape.columns and shape.fmt in KNOWN:
@@ -54,9 +63,9 @@ def normalize_sources(
             warnings.warn(f"skipped {len(paths)} file(s) of format {shape.fmt!r}", stacklevel=2)
             continue
         result = normalize(_read(spark, shape, paths), shape.fmt, PROVENANCE)
-        # a data column named like one of the store's own gives way to it
-        data = [c for c in result.rows.columns if c not in (*PROVENANCE, *STORED)]
-        frames.append(with_kind(result).select(
+        # the source of a row is its file, whatever the file says
+        data = [c for c in result.rows.columns if c not in PROVENANCE and c.lower() != "source"]
+        frames.append(with_kind(result).withColumn("_scan", F.lit(len(frames))).select(
             *(column(c).cast("string").alias(c) for c in data), "class", *_origin(save), *PLACE
         ))
     if not frames:
@@ -88,22 +97,30 @@ def corpus_tables(staged: DataFrame, sources: dict[str, tuple[str, ...]] | None
     def table(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         lacking = [c for c in columns if c not in rows.columns]
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in lacking}) if lacking else rows
-        return rows.drop("class", "folder", *PLACE)
+        return rows.select(*data_columns(rows))
 
-    indexed = {kind: index_in_file_order(of_class(staged, kind)) for kind in (GENERATION, INSTRUCT)}
+    name = index_name(staged)
+    indexed = {kind: index_in_file_order(of_class(staged, kind), name) for kind in (GENERATION, INSTRUCT)}
     return CorpusTables(
         generation=table(indexed[GENERATION], GENERATION_COLUMNS),
         instruct=table(indexed[INSTRUCT], INSTRUCT_COLUMNS),
         system_prompt=table(from_source(of_class(staged, INSTRUCT), *sources[SYSTEM_PROMPT]), INSTRUCT_COLUMNS),
         sources=sources,
+        index=name,
     )
 
 
+def index_name(staged: DataFrame) -> str:
+    """``index``, unless the sources have a column of that name."""
+    return "level_0" if "index" in {c.lower() for c in staged.columns} else "index"
+
+
 def store_tables(staged: DataFrame, tables: CorpusTables) -> None:
     """The three union tables of the consolidated corpus."""
     replace_table(tables.generation, GENERATION_TABLE)
     replace_table(tables.instruct, INSTRUCT_TABLE)
-    replace_table(index_in_file_order(staged).drop("class", "folder", *PLACE), ALL_TABLE)
+    everything = index_in_file_order(staged, index_name(staged))
+    replace_table(everything.select(*data_columns(everything)), ALL_TABLE)
 
 
 def source_table(staged: DataFrame, name: str) -> DataFrame:

@@ -118,6 +118,35 @@ UNION ALL SELECT 'NULL', text, lang, 'NULL', NULL, 'documents.jsonl' FROM docume
 UNION ALL SELECT CAST(page_id AS VARCHAR), url, html, 'NULL', NULL, 'pages.csv' FROM pages"""
 
 
+_RAW_COLUMNS = ("kind", "folder", "file", "question", "context", "answer", "extra", "more", "text", "class", "k1", "k2")
+_NO = "CAST(NULL AS VARCHAR)"
+
+
+def _raw_file(file: str, table: str, key: str, **columns: str) -> str:
+    kind = "generation" if "question" in columns else "instruct"
+    missing = {"extra": "'NULL'"} if kind == "generation" else {}
+    own = {"kind": f"'{kind}'", "folder": "'set [1]'", "file": f"'{file}'", "k1": key, "k2": "0", **missing, **columns}
+    return "SELECT " + ", ".join(f"{own.get(c, _NO)} AS {c}" for c in _RAW_COLUMNS) + f" FROM {table}"
+
+
+def _number(name: str) -> str:
+    return f"CAST({name} AS VARCHAR)"
+
+
+RAW = "raw AS (" + " UNION ALL ".join((
+    _raw_file("a b.jsonl", "pages", "page_id", question=_number("page_id"), context="url", answer="html"),
+    _raw_file("a%20b.jsonl", "documents", "doc_id", question="'NULL'", context="text", answer="lang"),
+    _raw_file("a1.jsonl", "orders", "o_orderkey", question=_number("o_orderkey"), context="o_orderstatus", answer="o_orderpriority"),
+    _raw_file("a[1].jsonl", "customer", "c_custkey", question=_number("c_custkey"), context="c_name", answer=_number("c_nationkey"),
+              extra="c_mktsegment"),
+    _raw_file("a{b}.jsonl", "conversations", "conv_id", question=_number("conv_id"), context=_number("turn"), answer="role", more="text",
+              k2="turn"),
+    _raw_file("kinds.jsonl", "benchmark", "item_id", text="text", **{"class": _number("item_id")}),
+    _raw_file("x+y.jsonl", "part", "p_partkey", question=_number("p_partkey"), context="p_brand", answer="p_name"),
+)) + ")"
+_SHOWN = ", ".join(_RAW_COLUMNS[:-2])
+
+
 def _clean(text: str) -> str:
     spaced = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'), ' ')"
     return f"regexp_replace({spaced}, '[ ;]+$', '')"
@@ -169,6 +198,11 @@ ORACLE: dict[str, str] = {
     "csv_source": _CSV_SOURCE,
     "csv_source_large": _CSV_SOURCE,
     "jsonl_source": "SELECT url, CAST(page_id AS VARCHAR) AS page_id, html FROM pages",
+    "json_source":
+        "SELECT CAST(turn AS VARCHAR) AS turn, CAST(conv_id AS VARCHAR) AS conv_id, text, role FROM conversations",
+    "normalize_source": f"WITH {RAW} SELECT {_SHOWN} FROM raw",
+    "union_all_indexed": f"""WITH {RAW}
+        SELECT CAST(row_number() OVER (ORDER BY file, k1, k2) - 1 AS BIGINT) AS idx, {_SHOWN} FROM raw""",
     "export_datasets": _long("dataset, idx, text"),
     "normalize_combined_text": f"""WITH {PAIRS},
         tagged AS (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,16 +11,16 @@ from sqlcorpus.functions import (
     duration_text, prompt, requote, run_label, scale_step, table_name,
 )
 from sqlcorpus.operators import curves, evaluate, runs, split
-from sqlcorpus.operators.consolidate import from_source, of_class, tag_source, unite
+from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of_class, tag_source, unite
 from sqlcorpus.operators.normalize import normalize, with_kind
-from sqlcorpus.plans import golden
+from sqlcorpus.plans import corpus, golden
+from sqlcorpus.plans.raw_folder import fresh_folder, shown, write_raw
 from sqlcorpus.plans.templates import DATASETS, TEMPLATES, dataset, datasets_long
 from sqlcorpus.plans.views import Given, moment, pair_key
 from sqlcorpus.schemas import CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, LOSS_SUFFIX
-from sqlcorpus.session import staging_root
-from sqlcorpus.sinks.files import export_datasets, write_csv, write_jsonl
+from sqlcorpus.sinks.files import export_datasets, write_csv, write_json_arrays, write_jsonl
 from sqlcorpus.sources import catalog
-from sqlcorpus.sources.files import read_csv, read_jsonl
+from sqlcorpus.sources.files import read_csv, read_json, read_jsonl
 from sqlcorpus.sources.large_csv import read_large_csv
 from sqlcorpus.sources.tables import load_dataset_by_name, scan_table
 
@@ -106,13 +105,9 @@ def json_models_explode(g: Given) -> DataFrame:
 
 # --- file round trips: the sink and the source of a format, over whole tables ----
 
-def _fresh_folder(g: Given) -> str:
-    return f"{staging_root(g.spark)}/{uuid.uuid4().hex}"
-
-
 @query
 def csv_source(g: Given) -> DataFrame:
-    path = _fresh_folder(g)
+    path = fresh_folder(g)
     write_csv(g.pairs().select("conv_id", "turn", "q", "c", "a"), path)
     return read_csv(g.spark, path)
 
@@ -120,7 +115,7 @@ def csv_source(g: Given) -> DataFrame:
 @query
 def csv_source_large(g: Given) -> DataFrame:
     """As ``csv_source``, by the reader that splits files between tasks."""
-    path = _fresh_folder(g)
+    path = fresh_folder(g)
     rows = g.pairs().select("conv_id", "turn", "q", "c", "a")
     write_csv(rows, path)
     return read_large_csv(g.spark, [path], tuple(rows.columns), CSV_NA_TOKENS)
@@ -128,14 +123,35 @@ def csv_source_large(g: Given) -> DataFrame:
 
 @query
 def jsonl_source(g: Given) -> DataFrame:
-    path = _fresh_folder(g)
+    path = fresh_folder(g)
     write_jsonl(g.table("pages").select("url", "page_id", "html"), path)
     return read_jsonl(g.spark, path)
 
 
+@query
+def json_source(g: Given) -> DataFrame:
+    path = fresh_folder(g)
+    write_json_arrays(g.table("conversations").select("turn", "conv_id", "text", "role"), path)
+    return read_json(g.spark, path)
+
+
+@query
+def normalize_source(g: Given) -> DataFrame:
+    """Files of every format, one scan per shape; names with pattern characters, and a column that the store calls its own."""
+    return shown(corpus.normalize_sources(g.spark, write_raw(g)), "class_")
+
+
+@query
+def union_all_indexed(g: Given) -> DataFrame:
+    """All files after staging, indexed in file order."""
+    staged = corpus.stage_sources(g.spark, write_raw(g), fresh_folder(g))
+    indexed = index_in_file_order(staged)
+    return shown(indexed, "class_", "index").withColumnRenamed("index", "idx")
+
+
 @query
 def export_datasets_(g: Given) -> DataFrame:
-    path = _fresh_folder(g)
+    path = fresh_folder(g)
     export_datasets(datasets_long(g).drop("source"), path)
     return g.spark.read.schema("idx LONG, text STRING, dataset STRING").json(path).select("dataset", "idx", "text")
 

@@ -19,6 +19,19 @@ INSTRUCT_TABLE = "raw_instructs"
 ALL_TABLE = "all_datasets"
 DATASET_PREFIX = "dataset_"
 
+# Names that the store gives its own columns.
+TAKEN = frozenset(("class", "folder", "_path", "_file", "_block", "_row", "_lane", "_scan"))
+
+
+def shielded(name: str) -> str:
+    """A data column's name in the store: one underscore longer if the name, or that with underscores, is taken."""
+    return name + "_" if name.lower().rstrip("_") in TAKEN else name
+
+
+def unshielded(name: str) -> str:
+    return name[:-1] if name.endswith("_") and name.lower().rstrip("_") in TAKEN else name
+
+
 # CSV cells that mean "missing" (the empty cell counts as well).
 CSV_NA_TOKENS = (
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows per output file: keeps files of long texts readable and restartable.
 MAX_RECORDS = 5_000_000
 DATASET_COLUMN = "dataset"
+ROUTE = ("class", "folder", "source")
 
 
 def _writer(df: DataFrame, mode: str, partitions: tuple[str, ...]):
-    writer = df.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS)
+    """``mode`` is Spark's, or ``routes``: replace only the partitions that ``df`` has rows of."""
+    own = {"partitionOverwriteMode": "dynamic"} if mode == "routes" else {"partitionOverwriteMode": "static"}
+    writer = df.write.mode("overwrite" if mode == "routes" else mode).options(**own).option("maxRecordsPerFile", MAX_RECORDS)
     return writer.partitionBy(*partitions) if partitions else writer
 
 
@@ -28,6 +31,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition
     _writer(df, mode, partitions).option("ignoreNullFields", False).json(path)
 
 
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partitions: tuple[str, ...] = ()) -> None:
+    _writer(df, mode, partitions).parquet(path)
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Files that hold one JSON array of records each, one per task; nulls are explicit.
+
+    ``df`` must give the same rows in the same tasks when it is read twice, as a plain scan does.
+    """
+    placed = df.select(F.struct("*").alias("_record")).withColumn("_at", F.monotonically_increasing_id())
+    # the last row of each task: one row per task
+    last = placed.groupBy(F.shiftright("_at", 33)).agg(F.max("_at").alias("_at")).select("_at", F.lit("]").alias("_end"))
+    text = F.to_json("_record", {"ignoreNullFields": "false"})
+    head = F.when(F.col("_at").bitwiseAND((1 << 33) - 1) == 0, "[").otherwise(",")
+    lines = placed.join(F.broadcast(last), "_at", "left").select(F.concat(head, text, F.coalesce("_end", F.lit(""))))
+    lines.write.mode(mode).text(path)
+
+
 FORMATS = {"csv": write_csv, "jsonl": write_jsonl}
 
 
@@ -38,15 +59,38 @@ def write_rows(df: DataFrame, path: str, save: str, mode: str = "errorifexists",
     FORMATS[save](df, path, mode, partitions)
 
 
-def write_routed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Normalised rows by class, folder and source file, as Parquet.
+def write_routed(df: DataFrame, path: str, mode: str = "errorifexists", save: str = "parquet") -> None:
+    """Normalised rows by class, folder and source file.
 
-    Parquet keeps the missing-value text apart from null. A source of any size is
-    written by as many tasks as read it.
+    Parquet and ``jsonl`` keep the missing-value text apart from null, ``csv`` does not. A source of any size is
+    written by as many tasks as read it. With the mode ``routes`` only the sources that ``df`` has rows of are
+    replaced; whatever else lies below ``path`` stays.
     """
-    _writer(df, mode, ("class", "folder", "source")).parquet(path)
+    if save == "parquet":
+        write_parquet(df, path, mode, ROUTE)
+    else:
+        write_rows(df, path, save, mode, ROUTE)
 
 
 def export_datasets(long: DataFrame, path: str, save: str = "jsonl", mode: str = "errorifexists") -> None:
     """Every dataset of a (dataset, …) table in a single job, one folder per dataset."""
     write_rows(long, path, save, mode, (DATASET_COLUMN,))
+
+
+def name_files(spark: SparkSession, written: str, folder: str, name: str) -> list[str]:
+    """Move what one write has left in ``written`` to ``folder`` as ``name``, or ``stem-00000.ext`` and on if it is several files.
+
+    Spark names files itself; other programs, and the rules of this library, go by names. Only names
+    change, no data passes through the driver.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(written), hadoop.Path(folder)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    parts = sorted(p for s in files.listStatus(source) if (p := s.getPath().getName()).startswith("part-"))
+    stem, _, extension = name.rpartition(".")
+    names = [name] if len(parts) == 1 else [f"{stem}-{k:05d}.{extension}" for k in range(len(parts))]
+    for part, new in zip(parts, names):
+        if not files.rename(hadoop.Path(source, part), hadoop.Path(target, new)):
+            raise OSError(f"cannot rename {written}/{part} to {folder}/{new}")
+    return names

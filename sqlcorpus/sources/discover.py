@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlcorpus.sources.files import csv_header, json_columns, parquet_columns
+from sqlcorpus.sources.files import csv_headers, json_columns, parquet_columns
+from sqlcorpus.sources.paths import bare, literal
 
 
 def discover_sources(
@@ -16,10 +17,11 @@ def discover_sources(
     """One row per file below ``root``: path, length, dir, folder, file, ext. Contents are not read.
 
     Files lying directly in a folder named in ``exclude`` are left out; ``dir``
-    (not the folder's bare name) identifies a folder.
+    (not the folder's bare name) identifies a folder. As in all of Spark, files and folders
+    whose names start with a dot or an underscore are not seen.
     """
     found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(literal(root))
         .select("path", "length")
     )
     files = found.select(
@@ -50,7 +52,8 @@ def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int | No
 
     Works on file names and headers. Files of unknown format have no columns. One reader takes CSV
     files of every size, unless the caller names a size from which on they are split between tasks;
-    that reader wants LF line ends and quotes in quoted cells only.
+    that reader wants LF or CRLF line ends. Headers of CSV files, and keys of JSON files, come from one
+    job each, footers of Parquet files one by one.
     """
     sizes: dict[str, dict[str, int]] = {}
     for row in sources.select("path", "ext", "length").orderBy("path").collect():
@@ -64,17 +67,15 @@ def group_by_shape(spark: SparkSession, sources: DataFrame, large_from: int | No
 
 
 def _columns(spark: SparkSession, ext: str, paths: list[str]) -> dict[str, tuple[str, ...]]:
-    if ext in ("json", "jsonl"):
-        by_name = {_bare(path): names for path, names in json_columns(spark, paths, ext).items()}
-        return {path: by_name.get(_bare(path), ()) for path in paths}
-    if ext not in ("csv", "parquet"):
+    if ext == "parquet":
+        # each is a tiny job that reads one footer
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(paths, pool.map(lambda path: parquet_columns(spark, path), paths)))
+    if ext == "csv":
+        found = csv_headers(spark, paths)
+    elif ext in ("json", "jsonl"):
+        found = json_columns(spark, paths, ext)
+    else:
         return dict.fromkeys(paths, ())
-    header = {"csv": csv_header, "parquet": parquet_columns}[ext]
-    # each is a tiny job that reads the start or the footer of one file
-    with ThreadPoolExecutor(8) as pool:
-        return dict(zip(paths, pool.map(lambda path: header(spark, path), paths)))
-
-
-def _bare(path: str) -> str:
-    """Paths come with one or three slashes after the scheme."""
-    return path.replace("file:///", "file:/")
+    by_name = {bare(path): names for path, names in found.items()}
+    return {path: by_name.get(bare(path), ()) for path in paths}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sqlcorpus.sources.files import decoded
+from sqlcorpus.sources.paths import decoded
 from sqlcorpus.functions import table_name
 from sqlcorpus.operators.consolidate import unite
 from sqlcorpus.operators.curves import unpivot_curves
