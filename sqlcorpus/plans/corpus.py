@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,11 +16,12 @@ from sqlcorpus.schemas import (
     INSTRUCT_COLUMNS, INSTRUCT_TABLE,
 )
 from sqlcorpus.sinks.files import export_datasets, write_routed
-from sqlcorpus.sinks.tables import create_table, replace_table
+from sqlcorpus.sinks.tables import create_table, replace_table, stored_name
 from sqlcorpus.sources.discover import Shape, discover_sources, group_by_shape
 from sqlcorpus.sources.files import PROVENANCE, read_csv, read_json, read_jsonl, read_parquet
 from sqlcorpus.sources.large_csv import read_large_csv
 from sqlcorpus.sources.paths import check_all_read, literals
+from sqlcorpus.sources.tables import table_in
 
 STORED = ("class", "folder", "source")
 KNOWN = ("csv", "json", "jsonl", "parquet")
@@ -104,7 +106,8 @@ def corpus_tables(staged: DataFrame, sources: dict[str, tuple[str, ...]] | None
     return CorpusTables(
         generation=table(indexed[GENERATION], GENERATION_COLUMNS),
         instruct=table(indexed[INSTRUCT], INSTRUCT_COLUMNS),
-        system_prompt=table(from_source(of_class(staged, INSTRUCT), *sources[SYSTEM_PROMPT]), INSTRUCT_COLUMNS),
+        # its index, as a key; the prompts are rendered without it
+        system_prompt=table(from_source(indexed[INSTRUCT], *sources[SYSTEM_PROMPT]), INSTRUCT_COLUMNS),
         sources=sources,
         index=name,
     )
@@ -115,29 +118,52 @@ def index_name(staged: DataFrame) -> str:
     return "level_0" if "index" in {c.lower() for c in staged.columns} else "index"
 
 
-def store_tables(staged: DataFrame, tables: CorpusTables) -> None:
+def store_tables(staged: DataFrame, tables: CorpusTables, database: str | None = None) -> None:
     """The three union tables of the consolidated corpus."""
-    replace_table(tables.generation, GENERATION_TABLE)
-    replace_table(tables.instruct, INSTRUCT_TABLE)
+    replace_table(tables.generation, table_in(database, GENERATION_TABLE))
+    replace_table(tables.instruct, table_in(database, INSTRUCT_TABLE))
     everything = index_in_file_order(staged, index_name(staged))
-    replace_table(everything.select(*data_columns(everything)), ALL_TABLE)
+    replace_table(everything.select(*data_columns(everything)), table_in(database, ALL_TABLE))
 
 
 def source_table(staged: DataFrame, name: str) -> DataFrame:
-    """The rows of one file by its table name (partition pruning leaves only its files)."""
-    return index_in_file_order(staged.filter(table_name(F.col("source")) == name))
+    """The rows of one file by its table name, with an index of their own (partition pruning leaves only its files)."""
+    rows = staged.filter(table_name(F.col("source")) == name)
+    indexed = index_in_file_order(rows, index_name(staged))
+    return indexed.select(*data_columns(indexed))
 
 
-def create_datasets(tables: CorpusTables, names: list[str], overwrite: bool = False) -> None:
-    """One stored table per dataset."""
+def store_source_tables(staged: DataFrame, database: str | None = None) -> dict[str, str]:
+    """A stored table for every file, replacing older ones; files of one name share a table.
+
+    Answers with the table of each name: catalogues take fewer characters than files do, and no
+    two names that differ in case only, which is an error.
+    """
+    rows = staged.select(table_name(F.col("source")).alias("name")).distinct().orderBy("name").collect()  # one per file
+    names = {row["name"]: stored_name(row["name"]) for row in rows}
+    if len({stored.lower() for stored in names.values()}) < len(names):
+        raise ValueError(f"names of files that differ in case only: {sorted(names)}")
+
+    def store(name: str) -> None:
+        replace_table(source_table(staged, name), table_in(database, names[name]))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(store, names))
+    return names
+
+
+def create_datasets(
+    tables: CorpusTables, names: list[str], overwrite: bool = False, keyed: bool = False, database: str | None = None
+) -> None:
+    """One stored table per dataset; ``keyed`` tables can be split."""
     for name in names:
-        create_table(dataset(name, tables), DATASET_PREFIX + name, overwrite)
+        create_table(dataset(name, tables, keyed), table_in(database, DATASET_PREFIX + name), overwrite)
 
 
 def build_corpus(
     spark: SparkSession, raw: str, staged: str, out: str, save: str = "jsonl",
-    mode: str = "errorifexists", sources: dict[str, tuple[str, ...]] | None = None,
+    mode: str = "errorifexists", sources: dict[str, tuple[str, ...]] | None = None, keyed: bool = False,
 ) -> None:
     """Raw files → staged rows → all datasets, exported in one job."""
     tables = corpus_tables(stage_sources(spark, raw, staged, save, mode), sources)
-    export_datasets(datasets_long(tables).drop("source"), out, save, mode)
+    export_datasets(datasets_long(tables, keyed).drop("source"), out, save, mode)

@@ -79,6 +79,14 @@ def _long(columns: str) -> str:
     return f"WITH {GEN}, {INS} SELECT {columns} FROM (" + " UNION ALL ".join(branches) + ")"
 
 
+def _instruct() -> str:
+    """The dataset with the most branches, with row keys: class, number of the template, index."""
+    branches = [f"SELECT 'generation:0:' || idx AS row_key, idx, {GEN_TEXTS['text_instruct']} AS text FROM gen"]
+    own = [(text, rows) for name, text, rows in INS_TEXTS if name == "text_instruct"]
+    branches += [f"SELECT 'instruct:{k}:' || idx, idx, {text} FROM ins WHERE {rows}" for k, (text, rows) in enumerate(own, 1)]
+    return f"WITH {GEN}, {INS}, instruct AS (" + " UNION ALL ".join(branches) + ")"
+
+
 SPLIT = f"""WITH {GEN},
 ranked AS (
   SELECT key, {GEN_TEXTS['translation']} AS text,
@@ -170,9 +178,36 @@ _CSV_SOURCE = f"""WITH {PAIRS}
     FROM pairs"""
 
 
+_SUMMARY = f"""WITH {LOSSES},
+        finished AS (
+          SELECT event_type || ' - (user_' || user_id || ')' AS name,
+                 arg_max(loss, (ts, event_id)) AS last_loss, min(loss) AS rate, count(*) AS steps,
+                 CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS seconds
+          FROM losses
+          WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+          GROUP BY event_type, user_id
+        )
+        SELECT name, last_loss AS "eval/loss", rate AS "train/learning_rate", steps * 250 AS _step,
+               CAST(floor(seconds / 3600) AS BIGINT) || 'h '
+               || CAST(floor((seconds % 3600) / 60) AS BIGINT) || 'm '
+               || CAST(floor(seconds % 60) AS BIGINT) || 's' AS runtime_hms
+        FROM finished WHERE last_loss IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
     "scan_parquet": "SELECT * FROM documents",
     "scan_table": "SELECT * FROM supplier",
+    "table_sink": f"""WITH {RAW},
+        stored AS (
+          SELECT replace(file, '.jsonl', '') AS "table", * FROM raw
+          UNION ALL SELECT CASE kind WHEN 'generation' THEN 'raw_text_generation' ELSE 'raw_instructs' END, * FROM raw
+          UNION ALL SELECT 'all_datasets', * FROM raw
+        )
+        SELECT "table", CAST(row_number() OVER (PARTITION BY "table" ORDER BY file, k1, k2) - 1 AS BIGINT) AS idx, file, question, text
+        FROM stored""",
+    "ctas_sink": f"SELECT *, 'TABLE_OR_VIEW_ALREADY_EXISTS' AS refused FROM ({_dataset('chatbot')})",
+    "list_datasets": " UNION ALL ".join(
+        f"SELECT 'dataset_{name}' AS name, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({sql})"
+        for name, sql in (("chatbot", _dataset("chatbot")), ("sys_prompt", "SELECT text FROM benchmark"), ("translation", _dataset("translation")))),
     "source_catalog": """
         SELECT lang || '/' || source AS name, file,
                'https://example.org/datasets/' || lang || '/' || source || '/resolve/main/' || file
@@ -276,6 +311,12 @@ ORACLE: dict[str, str] = {
         SELECT CASE WHEN place <= n_test THEN 'test' ELSE 'train' END AS side, count(*) AS n_rows
         FROM ranked GROUP BY 1""",
     "eval_cap": SPLIT + " SELECT key, text FROM ranked WHERE place <= least(1000, n_test)",
+    "split_stored_dataset": _instruct() + """,
+        ranked AS (
+          SELECT *, row_number() OVER (ORDER BY md5(row_key || '#7'), row_key) AS place,
+                 CAST(ceil(CAST(0.3 AS DOUBLE) * count(*) OVER ()) AS BIGINT) AS n_test FROM instruct
+        )
+        SELECT row_key, idx, text, CASE WHEN place <= n_test THEN 'test' ELSE 'train' END AS side FROM ranked""",
     "unpivot_curves": """
         SELECT l_orderkey, l_linenumber AS step, 'bright-sky-1 - (' || l_returnflag || ')' AS run,
                l_quantity AS loss FROM lineitem WHERE l_quantity IS NOT NULL
@@ -295,20 +336,25 @@ ORACLE: dict[str, str] = {
     "loss_bands": f'WITH {BANDS} SELECT band, run, "min" FROM members',
     "band_curves": f"""WITH {BANDS}
         SELECT m.band, l.run, l.event_id, l.loss FROM losses l JOIN members m ON m.run = l.run""",
-    "run_summary": f"""WITH {LOSSES},
-        finished AS (
-          SELECT event_type || ' - (user_' || user_id || ')' AS name,
-                 arg_max(loss, (ts, event_id)) AS last_loss, min(loss) AS rate, count(*) AS steps,
-                 CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS seconds
-          FROM losses
-          WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-          GROUP BY event_type, user_id
-        )
-        SELECT name, last_loss AS "eval/loss", rate AS "train/learning_rate", steps * 250 AS _step,
-               CAST(floor(seconds / 3600) AS BIGINT) || 'h '
-               || CAST(floor((seconds % 3600) / 60) AS BIGINT) || 'm '
-               || CAST(floor(seconds % 60) AS BIGINT) || 's' AS runtime_hms
-        FROM finished WHERE last_loss IS NOT NULL""",
+    "run_summary": _SUMMARY,
+    "summary_sink": _SUMMARY,
+    "run_records": f"""WITH {LOSSES}
+        SELECT event_type || ' - (user_' || user_id || ')' AS name, event_type AS run, 'user_' || user_id AS project,
+               arg_max(loss, (ts, event_id)) AS "eval/loss", min(loss) AS "train/learning_rate", count(*) AS _step,
+               CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS _runtime
+        FROM losses GROUP BY event_type, user_id""",
+    "curve_source": " UNION ALL ".join(
+        f"SELECT '{kind}-{k + 1} - (sheet {kind})' AS run, event_id AS step, value AS loss FROM events "
+        f"WHERE event_type = '{kind}' AND event_id % {k + 1} = 0 AND value IS NOT NULL"
+        for number, kind in enumerate(("click", "error", "purchase", "signup", "view")) for k in range(number + 1)),
+    "discover_sources": "SELECT * FROM (VALUES " + ", ".join(
+        f"('set [1]', '{file}', '{file.rpartition('.')[2]}')"
+        for file in ("a b.csv", "a%20b.jsonl", "a1.csv", "a[1].csv", "a{b}.json", "kinds.jsonl", "x+y.parquet")) + ") t(folder, file, ext)",
+    "routed_sink": f"""
+        SELECT 'NULL' AS question, text AS context, lang AS answer, 'NULL' AS extra, {_NO} AS text,
+               'generation' AS class, 'texts' AS folder, 'documents.jsonl' AS source FROM documents
+        UNION ALL SELECT CAST(page_id AS VARCHAR), url, html, 'again ' || page_id, NULL, 'generation', 'web', 'pages.jsonl' FROM pages
+        UNION ALL SELECT NULL, NULL, NULL, NULL, text, 'instruct', 'texts', 'benchmark.jsonl' FROM benchmark""",
     "golden_filter_lt": "SELECT * FROM customer WHERE c_acctbal < 0",
     "golden_project_filter": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice < 50000",
     "golden_date_eq": "SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-01-15'",

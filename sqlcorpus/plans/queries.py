@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcorpus.functions import (
@@ -13,16 +14,21 @@ from sqlcorpus.functions import (
 from sqlcorpus.operators import curves, evaluate, runs, split
 from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of_class, tag_source, unite
 from sqlcorpus.operators.normalize import normalize, with_kind
-from sqlcorpus.plans import corpus, golden
-from sqlcorpus.plans.raw_folder import fresh_folder, shown, write_raw
+from sqlcorpus.plans import corpus, golden, training
+from sqlcorpus.plans.raw_folder import file_of, fresh_folder, shown, write_raw
 from sqlcorpus.plans.templates import DATASETS, TEMPLATES, dataset, datasets_long
 from sqlcorpus.plans.views import Given, moment, pair_key
-from sqlcorpus.schemas import CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, LOSS_SUFFIX
-from sqlcorpus.sinks.files import export_datasets, write_csv, write_json_arrays, write_jsonl
+from sqlcorpus.schemas import (
+    ALL_TABLE, CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, GENERATION_TABLE, INSTRUCT_TABLE, LOSS_SUFFIX,
+)
+from sqlcorpus.sinks.files import export_datasets, name_files, write_csv, write_json_arrays, write_jsonl, write_routed
+from sqlcorpus.sinks.tables import create_table, open_store
 from sqlcorpus.sources import catalog
 from sqlcorpus.sources.files import read_csv, read_json, read_jsonl
+from sqlcorpus.sources.discover import discover_sources
 from sqlcorpus.sources.large_csv import read_large_csv
-from sqlcorpus.sources.tables import load_dataset_by_name, scan_table
+from sqlcorpus.sources.runs import curve_source as read_curves, read_run_records
+from sqlcorpus.sources.tables import list_datasets as stored_datasets, load_dataset_by_name, scan_table, table_in
 
 Query = Callable[[Given], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,10 +51,58 @@ def scan_parquet(g: Given) -> DataFrame:
     return g.table("documents")
 
 
+def store(g: Given) -> str:
+    """A database of this query's own, whose tables lie in the staging folder."""
+    folder = fresh_folder(g)
+    return open_store(g.spark, "q_" + folder.rpartition("/")[2], folder)
+
+
 @query
 def scan_table_(g: Given) -> DataFrame:
-    g.table("supplier").createOrReplaceTempView("stored_supplier")
-    return scan_table(g.spark, "stored_supplier")
+    name = table_in(store(g), "stored_supplier")
+    create_table(g.table("supplier"), name)
+    return scan_table(g.spark, name)
+
+
+@query
+def table_sink(g: Given) -> DataFrame:
+    """The three union tables and a table per file, stored twice over; one row per stored row."""
+    database = store(g)
+    staged = corpus.stage_sources(g.spark, write_raw(g), fresh_folder(g))
+    tables = corpus.corpus_tables(staged)
+    for _ in range(2):  # the second time replaces
+        corpus.store_tables(staged, tables, database)
+    names = corpus.store_source_tables(staged, database)
+    names |= {name: name for name in (GENERATION_TABLE, INSTRUCT_TABLE, ALL_TABLE)}
+    stored = [(name, g.spark.table(table_in(database, table))) for name, table in names.items()]
+    return unite([
+        df.select(F.regexp_replace(F.lit(name), r"-\d{5}$", "").alias("table"), F.col("index").alias("idx"),
+                  file_of(F.col("source")).alias("file"), "question", "text") for name, df in stored])
+
+
+@query
+def ctas_sink(g: Given) -> DataFrame:
+    """A dataset created as a table; creating it again is an error, unless overwriting is asked for."""
+    database = store(g)
+    corpus.create_datasets(g, ["chatbot"], database=database)
+    try:
+        corpus.create_datasets(g, ["chatbot"], database=database)
+    except AnalysisException as error:
+        refused = error.getCondition()
+    corpus.create_datasets(g, ["chatbot"], overwrite=True, database=database)
+    return g.spark.table(table_in(database, DATASET_PREFIX + "chatbot")).withColumn("refused", F.lit(refused))
+
+
+@query
+def list_datasets(g: Given) -> DataFrame:
+    """The stored datasets by name, with the number of rows and characters of each."""
+    database = store(g)
+    corpus.create_datasets(g, ["translation", "sys_prompt", "chatbot"], database=database)
+    create_table(g.table("nation"), table_in(database, "no_dataset"))
+    return unite([
+        g.spark.table(table_in(database, name)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars")).select(
+            F.lit(name).alias("name"), "n_rows", "n_chars")
+        for name in stored_datasets(g.spark, database=database)])
 
 
 @query
@@ -66,8 +120,9 @@ def source_catalog(g: Given) -> DataFrame:
 
 @query
 def load_dataset_by_name_(g: Given) -> DataFrame:
-    dataset("translation", g).createOrReplaceTempView(DATASET_PREFIX + "translation")
-    return load_dataset_by_name(g.spark, "Translation dataset")
+    database = store(g)
+    corpus.create_datasets(g, ["translation"], database=database)
+    return load_dataset_by_name(g.spark, "Translation dataset", database)
 
 
 @query
@@ -278,13 +333,33 @@ def drop_null_loss(g: Given) -> DataFrame:
     return runs.drop_null_loss(g.pairs(), "a").select("conv_id", "turn", "a")
 
 
+def _routed(g: Given) -> list[DataFrame]:
+    """Rows of both classes with folder and source."""
+    shaped = [
+        ("texts", "documents.jsonl", normalize(g.table("documents").select("text", "lang", "source"), "jsonl")),
+        ("web", "pages.jsonl", normalize(g.table("pages").select("page_id", "url", "html"), "csv")),
+        ("texts", "benchmark.jsonl", normalize(g.table("benchmark").select("text"), "csv")),
+    ]
+    return [with_kind(n).withColumns({"folder": F.lit(folder), "source": F.lit(source)}) for folder, source, n in shaped]
+
+
 @query
 def filter_class(g: Given) -> DataFrame:
-    both = unite([with_kind(n) for n in (
-        normalize(g.table("documents").select("text", "lang", "source"), "jsonl"),
-        normalize(g.table("benchmark").select("text"), "csv"),
-    )])
-    return of_class(both, GENERATION)
+    """From the routed store, where a class is a folder."""
+    path = fresh_folder(g)
+    write_routed(unite(_routed(g)), path)
+    kept = of_class(corpus.read_staged(g.spark, path), GENERATION)
+    return kept.filter("folder = 'texts'").select("question", "context", "answer", "extra", "class", "text")
+
+
+@query
+def routed_sink(g: Given) -> DataFrame:
+    """Both classes by routes, as lines; then one source anew, which leaves the others as they are."""
+    path, rows = fresh_folder(g), _routed(g)
+    write_routed(unite(rows), path, save="jsonl")
+    write_routed(rows[1].withColumn("extra", F.concat(F.lit("again "), "question")), path, "routes", "jsonl")
+    schema = "question string, context string, answer string, extra string, text string, class string, folder string, source string"
+    return g.spark.read.schema(schema).json(path)
 
 
 # --- unions -------------------------------------------------------------------------
@@ -341,17 +416,25 @@ def _translations(g: Given) -> DataFrame:
 
 @query
 def train_test_split(g: Given) -> DataFrame:
-    return split.train_test_split(_translations(g), "key", SPLIT_SEED)
+    return split.train_test_split(_translations(g), "key", SPLIT_SEED, keys=g.gen_keys())
 
 
 @query
 def split_counts(g: Given) -> DataFrame:
-    return split.split_counts(split.train_test_split(g.gen_keyed().select("key"), "key", SPLIT_SEED))
+    return split.split_counts(split.train_test_split(g.gen_keys(), "key", SPLIT_SEED))
 
 
 @query
 def eval_cap(g: Given) -> DataFrame:
-    return split.eval_rows(_translations(g), "key", SPLIT_SEED)
+    return split.eval_rows(_translations(g), "key", SPLIT_SEED, keys=g.gen_keys())
+
+
+@query
+def split_stored_dataset(g: Given) -> DataFrame:
+    """A dataset whose index repeats between branches, stored with its row keys and split as it lies."""
+    database = store(g)
+    corpus.create_datasets(g, ["text_instruct"], keyed=True, database=database)
+    return training.split_stored_dataset(g.spark, "Instruct dataset", SPLIT_SEED, database=database)
 
 
 # --- run analytics ----------------------------------------------------------------------
@@ -414,6 +497,45 @@ def _run_records(g: Given) -> DataFrame:
     )
 
 
+@query
+def run_records(g: Given) -> DataFrame:
+    """Summaries as exported, one JSON object per line, with their labels."""
+    path = fresh_folder(g)
+    write_jsonl(_run_records(g).drop("user_id"), path)
+    return runs.label_runs(read_run_records(g.spark, path))
+
+
+@query
+def summary_sink(g: Given) -> DataFrame:
+    path = fresh_folder(g)
+    summary = runs.run_summary(runs.label_runs(_run_records(g)), _building(g), "user_id")
+    write_csv(summary, path)
+    return g.spark.read.schema(summary.schema).csv(path, header=True, quote='"', escape='"')
+
+
+@query
+def curve_source(g: Given) -> DataFrame:
+    """A wide sheet per event type, with headers of different widths."""
+    folder = fresh_folder(g)
+    for number, kind in enumerate(EVENT_TYPES):
+        event = g.table("events").filter(F.col("event_type") == kind)
+        sheet = event.select(
+            F.col("user_id").alias("User"), F.col("event_id").alias("Step"), F.col("value").alias(f"{kind}-1{LOSS_SUFFIX}"),
+            F.col("value").alias(f"{kind}-1{LOSS_SUFFIX}__MIN"),
+            *(F.when(F.col("event_id") % (k + 2) == 0, F.col("value")).alias(f"{kind}-{k + 2}{LOSS_SUFFIX}") for k in range(number)))
+        write_csv(sheet, f"{folder}/written/{number}")
+        name_files(g.spark, f"{folder}/written/{number}", f"{folder}/sheets [1]", f"sheet {kind}.csv")
+    found = discover_sources(g.spark, f"{folder}/sheets [1]").collect()  # one row per sheet
+    curves_ = read_curves(g.spark, [row["path"] for row in found])
+    return curves_.withColumn("run", F.regexp_replace("run", r"-\d{5}\)$", ")"))
+
+
+@query
+def discover_sources_(g: Given) -> DataFrame:
+    found = discover_sources(g.spark, write_raw(g))
+    return found.filter("length > 0").select("folder", file_of(F.col("file")).alias("file"), "ext").distinct()
+
+
 @query
 def run_summary(g: Given) -> DataFrame:
     return runs.run_summary(runs.label_runs(_run_records(g)), _building(g), "user_id")

@@ -84,6 +84,9 @@ ROW_KINDS = {GENERATION: True, INSTRUCT: True, SYSTEM_PROMPT: False}
 
 DATASETS = tuple(sorted(DISPLAY_NAMES.values()))
 
+# Name of a rendered row's key: class of rows, number of the template in its dataset, index of the row.
+ROW_KEY = "row_key"
+
 
 class RenderSource(Protocol):
     """What the datasets are rendered from."""
@@ -108,41 +111,54 @@ class CorpusTables:
         return {GENERATION: self.generation, INSTRUCT: self.instruct, SYSTEM_PROMPT: self.system_prompt}[kind]
 
 
-def dataset(name: str, tables: RenderSource) -> DataFrame:
-    """One dataset: ``index`` and ``text``, or ``text`` alone for the system prompts."""
+def _row_key(template: Template, kind: str, index: str) -> Column:
+    """Unique in a dataset, where the index repeats between classes and templates."""
+    number = [t for t in TEMPLATES if t.dataset == template.dataset].index(template)
+    return F.concat(F.lit(f"{kind}:{number}:"), F.col(index))
+
+
+def dataset(name: str, tables: RenderSource, keyed: bool = False) -> DataFrame:
+    """One dataset: ``index`` and ``text``, or ``text`` alone for the system prompts; ``keyed`` puts ``row_key`` in front."""
     branches = []
     for kind, index in ROW_KINDS.items():
         templates = [t for t in TEMPLATES if t.dataset == name and t.rows == kind]
         if templates:
             keep = [tables.index] if index else []
-            branches.append(_render(tables.rows(kind), templates, tables, keep).drop("dataset"))
+            branches.append(_render(tables.rows(kind), templates, tables, kind, keep, keyed).drop("dataset"))
     if not branches:
         raise KeyError(f"no dataset named {name!r}")
     return unite(branches)
 
 
-def _render(rows: DataFrame, templates: list[Template], tables: RenderSource, keep: list[str]) -> DataFrame:
+def _render(
+    rows: DataFrame, templates: list[Template], tables: RenderSource, kind: str, keep: list[str], keyed: bool
+) -> DataFrame:
     """Every given template over one scan of the class."""
     named = sorted({s for t in templates if t.sources for s in tables.sources[t.sources]})
     if named:
         rows = rows.filter(source_in(*named))
+
+    def key(template: Template) -> list[Column]:
+        return [_row_key(template, kind, tables.index).alias(ROW_KEY)] if keyed else []
+
     if len(templates) == 1:
         only = templates[0]
-        return rows.select(F.lit(only.dataset).alias("dataset"), *keep, only.text().alias("text"))
+        return rows.select(F.lit(only.dataset).alias("dataset"), *key(only), *keep, only.text().alias("text"))
     pairs = []
     for template in templates:
-        pair = F.struct(F.lit(template.dataset).alias("dataset"), template.text().alias("text"))
+        pair = F.struct(F.lit(template.dataset).alias("dataset"), *key(template), template.text().alias("text"))
         if template.sources:
             pair = F.when(source_in(*tables.sources[template.sources]), pair)
         pairs.append(pair)
     made = F.array_compact(F.array(*pairs)) if named else F.array(*pairs)
-    return rows.select(*keep, F.explode(made).alias("_made")).select("_made.dataset", *keep, "_made.text")
+    keys = [f"_made.{ROW_KEY}"] if keyed else []
+    return rows.select(*keep, F.explode(made).alias("_made")).select("_made.dataset", *keys, *keep, "_made.text")
 
 
-def datasets_long(tables: RenderSource) -> DataFrame:
-    """All datasets as (dataset, index, source, text), each class scanned once."""
+def datasets_long(tables: RenderSource, keyed: bool = False) -> DataFrame:
+    """All datasets as (dataset, index, source, text), each class scanned once; ``keyed`` adds ``row_key``."""
     return unite([
-        _render(tables.rows(kind), [t for t in TEMPLATES if t.rows == kind], tables,
-                [tables.index, "source"] if index else [])
+        _render(tables.rows(kind), [t for t in TEMPLATES if t.rows == kind], tables, kind,
+                [tables.index, "source"] if index else [], keyed)
         for kind, index in ROW_KINDS.items()
     ])

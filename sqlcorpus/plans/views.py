@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcorpus.operators.consolidate import unite
-from sqlcorpus.operators.ordering import following, group_bases, nested_position, position
+from sqlcorpus.operators.ordering import group_bases, nested_totals, position
 from sqlcorpus.plans.templates import SYSTEM_PROMPT
 from sqlcorpus.schemas import GENERATION, INSTRUCT, MISSING
 
@@ -47,37 +47,40 @@ class Given:
         self.spark = spark
         self.table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-    def pairs(self, placed: DataFrame | None = None) -> DataFrame:
-        """(conv_id, turn, q, a, c): each user turn, the answer if the next turn is one, the system text.
+    def _placed(self, **totals: list[str]) -> DataFrame:
+        """(conv_id, turn, next, …) of the user turns: the conversation's next turn, and their number so far in all or in a group.
 
-        Turns are unique in a conversation and may have gaps. Of the turns only keys
-        are put in order; every text is then moved by (conversation, turn), so that a
-        conversation that holds most of the rows is still spread over all tasks. The
-        system text meets bare keys first, so that the turns are not moved by
-        conversation. ``placed`` adds columns by the same key.
+        Of the turns only keys are put in order.
+        """
+        turns = self.table("conversations").select(
+            "conv_id", "turn", (F.col("role") == "user").cast("long").alias("asks"), conversation_file().alias("source"))
+        return nested_totals(turns, "conv_id", "turn", "asks", totals, "next").filter("asks = 1").drop("asks")
+
+    def pairs(self, **totals: list[str]) -> DataFrame:
+        """(conv_id, turn, …, q, a, c): each user turn, the answer if the next turn is one, the system text.
+
+        Turns are unique in a conversation and may have gaps. Every text is moved by (conversation, turn),
+        so that a conversation that holds most of the rows is still spread over all tasks. The system
+        text meets bare keys first, so that the turns are not moved by conversation. ``totals`` adds
+        the number of earlier pairs, in all or in a group, under the names given.
         """
         key = ["conv_id", "turn"]
         turns = self.table("conversations")
+        placed = self._placed(**totals)
         asked = turns.filter("role = 'user'").select(*key, F.col("text").alias("q"))
-        after = following(turns.select(*key, "role"), ["conv_id"], "turn", "next").filter("role = 'user'").select(
-            "conv_id", F.col("turn").alias("asked"), F.col("next").alias("turn"))
-        answered = turns.filter("role = 'assistant'").select(*key, F.col("text").alias("a")).join(after, key).select(
-            "conv_id", F.col("asked").alias("turn"), "a")
+        answers = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("a"))
         system = turns.filter("role = 'system'").select("conv_id", F.col("text").alias("c"))
         contexts = self._asked().join(system, "conv_id")
-        joined = asked.join(answered, key, "left").join(contexts, key, "left")
-        if placed is not None:
-            joined = joined.join(placed, key)
-        extra = [] if placed is None else [c for c in placed.columns if c not in key]
-        return joined.select(*key, *extra, "q", "a", F.coalesce("c", F.lit(MISSING)).alias("c"))
+        joined = placed.join(answers, ["conv_id", "next"], "left").join(asked, key).join(contexts, key, "left")
+        return joined.select(*key, *totals, *(["source"] if totals else []), "q", "a", F.coalesce("c", F.lit(MISSING)).alias("c"))
 
     def _asked(self) -> DataFrame:
         return self.table("conversations").filter("role = 'user'").select("conv_id", "turn")
 
-    def _gen_parts(self, placed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def _gen_parts(self, **totals: list[str]) -> tuple[DataFrame, DataFrame]:
         missing = F.lit(MISSING)
         names = {"question": "q", "context": "c", "answer": "a"}
-        from_pairs = self.pairs(placed).withColumnsRenamed({old: new for new, old in names.items()}).withColumns(
+        from_pairs = self.pairs(**totals).withColumnsRenamed({old: new for new, old in names.items()}).withColumns(
             {"extra": missing, "source": F.lit("conversations")}
         )
         from_documents = self.table("documents").select(
@@ -94,11 +97,16 @@ class Given:
             from_documents.select(F.concat("source", F.lit(":"), "doc_id").alias("key"), *GEN),
         ])
 
+    def gen_keys(self) -> DataFrame:
+        """The keys of ``gen_keyed``, from key columns alone."""
+        return unite([
+            self._asked().select(F.concat(F.lit("conversations:"), pair_key()).alias("key")),
+            self.table("documents").select(F.concat(F.lit("documents:"), "doc_id").alias("key")),
+        ])
+
     def gen(self) -> DataFrame:
         """(idx, question, context, answer, extra, source): idx runs over (source, key)."""
-        # of the turns only the keys are put in order
-        placed = nested_position(self._asked(), [], "conv_id", "turn", "idx")
-        from_pairs, from_documents = self._gen_parts(placed)
+        from_pairs, from_documents = self._gen_parts(idx=[])
         first_document = self._asked().agg(F.count(F.lit(1))).scalar()
         documents = position(from_documents, [], F.col("doc_id"), ["doc_id"], "idx")
         return unite([
@@ -109,18 +117,18 @@ class Given:
     def ins(self) -> DataFrame:
         """(idx, text, input, output, source): idx runs over (source, key)."""
         documents = self.table("documents").select("doc_id", "text", "source")
-        keys = self._asked().withColumn("source", conversation_file())
-        sizes = unite([keys.select("source"), documents.select("source")])
+        keys = self._asked().select(conversation_file().alias("source"))
+        sizes = unite([keys, documents.select("source")])
         bases = group_bases(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
-        placed = nested_position(keys, ["source"], "conv_id", "turn", "idx", base=bases)
-        from_pairs = self.pairs(placed).select("idx", F.col("q").alias("input"), F.col("a").alias("output"), "source")
+        from_pairs = self.pairs(idx=["source"]).join(bases, "source").select(
+            (F.col("idx") + F.col("base")).alias("idx"), F.col("q").alias("input"), F.col("a").alias("output"), "source")
         from_documents = position(documents, ["source"], F.col("doc_id"), ["doc_id"], "idx", base=bases)
         return unite([from_pairs, from_documents.drop("doc_id")]).select("idx", *INS)
 
     def rows(self, kind: str) -> DataFrame:
         """The table a template reads."""
         if kind == SYSTEM_PROMPT:
-            return self.table("benchmark").select("text")
+            return self.table("benchmark").select(F.col("item_id").alias("idx"), "text")
         return {GENERATION: self.gen, INSTRUCT: self.ins}[kind]()
 
     def losses(self) -> DataFrame:

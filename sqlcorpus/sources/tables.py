@@ -7,17 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from sqlcorpus.schemas import DATASET_PREFIX, DISPLAY_NAMES
 
 
+def table_in(database: str | None, name: str) -> str:
+    return f"{database}.{name}" if database else name
+
+
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def list_datasets(spark: SparkSession, prefix: str = DATASET_PREFIX) -> list[str]:
-    """Names of the tables and views that hold datasets; a view that hides a table counts once."""
-    return sorted({t.name for t in spark.catalog.listTables(pattern=prefix + "*") if t.name.startswith(prefix)})
+def list_datasets(spark: SparkSession, prefix: str = DATASET_PREFIX, database: str | None = None) -> list[str]:
+    """Names of the tables and views that hold datasets; a view that hides a table counts once.
+
+    With ``database`` those stored in it, and no temporary views.
+    """
+    found = spark.catalog.listTables(database, pattern=prefix + "*")
+    return sorted({t.name for t in found if t.name.startswith(prefix) and not (database and t.isTemporary)})
 
 
-def load_dataset_by_name(spark: SparkSession, display_name: str) -> DataFrame:
+def load_dataset_by_name(spark: SparkSession, display_name: str, database: str | None = None) -> DataFrame:
     """A dataset by the name people know it by."""
     if display_name not in DISPLAY_NAMES:
         raise KeyError(f"{display_name!r} is none of {sorted(DISPLAY_NAMES)}")
-    return spark.table(DATASET_PREFIX + DISPLAY_NAMES[display_name])
+    return spark.table(table_in(database, DATASET_PREFIX + DISPLAY_NAMES[display_name]))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus.operators.ordering import (
-    descending_rank, following, group_bases, nested_position, position, position_in_many, running_total,
+    descending_rank, group_bases, nested_position, nested_totals, position, position_in_many, running_total, sliced,
 )
 
 
@@ -34,9 +34,9 @@ def test_position_in_many(spark, hot_rows):
 @pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
 @pytest.mark.parametrize("cuts", [1, 7, 1 << 16])
 def test_nested_position(spark, cuts, hot_rows):
-    got = nested_position(frame(spark), [], "major", "k", "p", None, hot_rows, cuts).toPandas().sort_values(["major", "k"])
+    got = nested_position(frame(spark), [], "major", "k", "p", hot_rows, cuts).toPandas().sort_values(["major", "k"])
     assert list(got["p"]) == list(range(601))
-    got = nested_position(frame(spark), ["g"], "major", "k", "p", None, hot_rows, cuts).toPandas()
+    got = nested_position(frame(spark), ["g"], "major", "k", "p", hot_rows, cuts).toPandas()
     got = got.sort_values(["g", "major", "k"])
     assert (got["p"] == got.groupby("g").cumcount()).all()
 
@@ -46,7 +46,6 @@ def test_bases_make_groups_lie_end_to_end(spark):
     bases = group_bases(df.groupBy("g").agg(F.count("*").alias("n")), "g")
     for made, order in (
         (position(df, ["g"], F.col("k"), ["k"], "p", base=bases), ["g", "k"]),
-        (nested_position(df, ["g"], "major", "k", "p", base=bases), ["g", "major", "k"]),
     ):
         assert list(made.toPandas().sort_values(order)["p"]) == list(range(601))
 
@@ -61,10 +60,38 @@ def test_running_total(spark, cuts):
 
 @pytest.mark.parametrize("hot_rows", [0, 60, 10 ** 6])
 @pytest.mark.parametrize("cuts", [7, 1 << 16])
-def test_following(spark, hot_rows, cuts):
-    got = following(frame(spark), ["g"], "k", "next", hot_rows, cuts).toPandas().sort_values(["g", "k"])
-    want = got.groupby("g")["k"].shift(-1)
-    assert (got["next"].isna() == want.isna()).all() and (got["next"].dropna() == want.dropna()).all() and len(got) == 601
+def test_totals_and_followers_in_one_go(spark, hot_rows, cuts):
+    df = frame(spark).withColumn("side", F.col("major") % 2)
+    totals = {"all": [], "by_side": ["side"]}
+    got = nested_totals(df, "major", "k", "w", totals, "next", hot_rows, cuts).toPandas().sort_values(["major", "k"])
+    assert len(got) == 601
+    assert (got["all"] == got["w"].cumsum() - got["w"]).all()
+    assert (got["by_side"] == got.groupby("side")["w"].cumsum() - got["w"]).all()
+    want = got.groupby("major")["k"].shift(-1)
+    assert (got["next"].isna() == want.isna()).all() and (got["next"].dropna() == want.dropna()).all()
+    alone = nested_totals(df, "major", "k", "w", {}, "next", hot_rows, cuts).toPandas().sort_values(["major", "k"])
+    assert (alone["next"].fillna(-1).to_numpy() == want.fillna(-1).to_numpy()).all()
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize("rounds, keys", [
+    (1, [1e15, -1e300, NAN, INF, -INF, 0.0, -0.0] + list(range(20_000))),
+    (3, [1e15, NAN] + [1.7e9 + i * i / 1e4 for i in range(20_000)]),
+    (1, [-(1.001 ** i) for i in range(20_000)]),
+    (2, [1e6 + i * 1e-6 for i in range(10_000)] + [1e6 + i / 10_000 for i in range(10_000)] + [5.0, 1e15]),
+])
+def test_slices_hold_about_equal_numbers_of_rows(spark, rounds, keys):
+    """Far, infinite and crowded keys leave no slice with twice the mean; slices follow the keys."""
+    random.Random(1).shuffle(keys)
+    df = spark.createDataFrame([(float(k),) for k in keys], "k double")
+    got = sliced(df, F.col("k"), cuts=64, least=1, rounds=rounds)
+    sizes = got.groupBy("_slice").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_slice").collect()
+    assert sum(r["n"] for r in sizes) == len(keys) and len(sizes) >= 48
+    assert max(r["n"] for r in sizes) < 2 * len(keys) / 64
+    finite = [r for r in sizes if r["lo"] == r["lo"]]
+    assert all(a["hi"] <= b["lo"] for a, b in zip(finite, finite[1:]) if a["hi"] == a["hi"])
 
 
 def test_descending_rank_shares_ties(spark, rows):
