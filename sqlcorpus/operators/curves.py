@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sqlcorpus.functions import run_label, scale_step
 from sqlcorpus.operators.normalize import column
-from sqlcorpus.operators.ordering import position_in_many, running_total
+from sqlcorpus.operators.ordering import CUTS, before, position_in_many, sliced
 from sqlcorpus.schemas import LOSS_BANDS, LOSS_SUFFIX
 
-# Largest number of losses kept as one array (about a hundred megabytes while it is filled).
-HOT_RUN_ROWS = 4_000_000
-
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -43,56 +40,52 @@ def curve_axis(curves: DataFrame, order: list[str] | None = None, key: Column |
     return placed.withColumn("x", scale_step(F.col("_at") + 1)).drop("_at")
 
 
-def describe_runs(curves: DataFrame, hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
+def describe_runs(curves: DataFrame, cuts: int = CUTS) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max of each run's losses.
 
-    Runs above ``hot_rows`` points get their quartiles from a distributed rank
-    instead of one array of values per run.
+    The losses are folded to one row per run and loss, with its count, and all else comes from these rows
+    (whose shuffle Spark uses again). Quartiles are looked up in the slices that hold them, so that no run is sorted as a whole.
     """
     losses = curves.select("run", "loss").filter(F.col("loss").isNotNull())
-    moments = losses.groupBy("run").agg(
-        F.count("loss").alias("n"), F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"),
-        F.min("loss").alias("min"), F.max("loss").alias("max"),
-    )
-    # at most (all rows / hot_rows) runs can be hot, so this side stays small
-    hot = moments.filter(F.col("n") > hot_rows).select("run", F.col("n").alias("_n"))
-    # an array holds at most ``hot_rows`` numbers, and costs less than a map of counts
-    usual = losses.join(hot, "run", "left_anti").groupBy("run").agg(
-        F.sort_array(F.collect_list("loss")).alias("_losses")
-    ).select("run", F.array(*(_quartile_of(F.col("_losses"), q) for q in QUARTILES)).alias("_quartiles"))
-    quartiles = usual.unionByName(_hot_quartiles(losses.join(hot, "run"), hot))
-    return moments.join(quartiles, "run").select(
-        "run", "n", "mean", "std", "min",
-        *(F.col("_quartiles")[i].alias(f"q{int(q * 100)}") for i, q in enumerate(QUARTILES)), "max",
-    )
-
-
-def _between(low: Column, high: Column, rank: Column) -> Column:
-    """Value at a rank that may lie between two places."""
-    return low + (high - low) * (rank - F.floor(rank))
-
-
-def _quartile_of(ordered: Column, q: float) -> Column:
-    rank = F.lit(q) * (F.size(ordered) - 1)
-    return _between(F.get(ordered, F.floor(rank).cast("int")), F.get(ordered, F.ceil(rank).cast("int")), rank)
-
-
-def _hot_quartiles(losses: DataFrame, hot: DataFrame) -> DataFrame:
-    """Quartiles of runs too big for one task: rank the distinct losses and read them off."""
-    values = losses.groupBy("run", "loss").agg(F.count(F.lit(1)).alias("_same"))
-    ranked = running_total(values, ["run"], "loss", "_same", "_before").join(hot, "run")
-
-    def at(rank: Column) -> Column:
-        here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_same"))
-        return F.max(F.when(here, F.col("loss")))
-
-    def quartile(q: float) -> Column:
-        rank = F.lit(q) * (F.col("_n") - 1)
-        return _between(at(F.floor(rank)), at(F.ceil(rank)), rank)
-
-    return ranked.groupBy("run", "_n").agg(
-        F.array(*map(quartile, QUARTILES)).alias("_quartiles")
-    ).drop("_n")
+    folded = losses.groupBy("run", "loss").agg(F.count(F.lit(1)).alias("_same"))
+    sums = folded.groupBy("run").agg(
+        F.sum("_same").alias("n"), (F.sum(F.col("loss") * F.col("_same")) / F.sum("_same")).alias("mean"),
+        F.min("loss").alias("min"), F.max("loss").alias("max"))
+    # from the mean, as the difference of two large sums would be inexact
+    away = folded.join(sums.select("run", "mean"), "run").groupBy("run").agg(
+        F.sum(F.pow(F.col("loss") - F.col("mean"), 2) * F.col("_same")).alias("_squares"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
+    return sums.join(away, "run").join(_quartiles(folded, cuts), "run").select(
+        "run", "n", "mean", std.alias("std"), "min", *(_quartile_name(q) for q in QUARTILES), "max")
+
+
+def _quartile_name(q: float) -> str:
+    return f"q{int(q * 100)}"
+
+
+def _quartiles(folded: DataFrame, cuts: int) -> DataFrame:
+    """Values at the ranks q * (n - 1), between two places by their distance."""
+    cut = sliced(folded, F.col("loss"), cuts=cuts)
+    pieces = cut.groupBy("run", "_slice").agg(F.sum("_same").alias("_rows"))
+    placed = pieces.select(
+        "run", "_slice", "_rows", before("_rows", ["run"], "_slice").alias("_start"), F.sum("_rows").over(W.partitionBy("run")).alias("_n"))
+
+    def rank(q: float) -> Column:
+        return F.lit(q) * (F.col("_n") - 1)
+
+    ranks = F.array_distinct(F.array(*(side(rank(q)).cast("long") for q in QUARTILES for side in (F.floor, F.ceil))))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_rows")))
+    # at most six slices of a run
+    wanted = placed.withColumn("_ranks", ranks).withColumn("_ranks", here).filter(F.size("_ranks") > 0)
+    inside = cut.join(wanted, ["run", "_slice"]).withColumn("_at", F.col("_start") + before("_same", ["run", "_slice"], "loss"))
+    own = F.filter("_ranks", lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_same")))
+    found = inside.select("run", "_n", "loss", F.explode(own).alias("_rank"))
+
+    def value(q: float) -> Column:
+        low, high = (F.max(F.when(F.col("_rank") == side(rank(q)), F.col("loss"))) for side in (F.floor, F.ceil))
+        return low + (high - low) * (rank(q) - F.floor(rank(q)))
+
+    return found.groupBy("run", "_n").agg(*(value(q).alias(_quartile_name(q)) for q in QUARTILES)).drop("_n")
 
 
 def runs_by_min(described: DataFrame) -> DataFrame:

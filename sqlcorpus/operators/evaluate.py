@@ -22,7 +22,11 @@ def score_prediction(expected: Column, accepted: Column, predicted: Column, fold
 
 
 def prediction_match(golden: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per model: answers, strict and case-folded matches, and the rates."""
+    """Per model: answers, strict and case-folded matches, and their shares of all tests.
+
+    A test that a model did not answer is one it missed.
+    """
+    tests = golden.agg(F.count_distinct("test_id")).scalar()
     judged = predictions.join(golden, "test_id").select(
         "model",
         *(
@@ -33,8 +37,7 @@ def prediction_match(golden: DataFrame, predictions: DataFrame) -> DataFrame:
     return judged.groupBy("model").agg(
         F.count(F.lit(1)).alias("answers"),
         F.sum("strict").alias("strict"), F.sum("folded").alias("folded"),
-        F.avg("strict").alias("strict_rate"), F.avg("folded").alias("folded_rate"),
-    )
+    ).select("*", *((F.col(name) / tests).alias(f"{name}_rate") for name in ("strict", "folded")))
 
 
 def resultset_diff(expected: DataFrame, got: DataFrame) -> DataFrame:

@@ -74,12 +74,13 @@ def group_count(
     return per_key.join(named, "_key").groupBy(name).agg(F.sum("_n").alias(label))
 
 
-def money(quantity: Column, price: Column) -> Column:
-    """Exact product, so that sums do not depend on the order of the rows.
+# Wide enough for prices of eight decimals; their product still has all its digits.
+QUANTITY, PRICE = "decimal(17,3)", "decimal(18,8)"
 
-    18 digits in all, the most a decimal can hold without leaving primitive arithmetic.
-    """
-    return quantity.cast("decimal(8,2)") * price.cast("decimal(9,2)")
+
+def money(quantity: Column, price: Column) -> Column:
+    """Exact product, so that sums do not depend on the order of the rows."""
+    return quantity.cast(QUANTITY) * price.cast(PRICE)
 
 
 def revenue(
@@ -87,9 +88,9 @@ def revenue(
 ) -> DataFrame:
     """Quantity times price over all details; quantities are added up per product first."""
     sold = details.groupBy(F.col(detail_product).alias("_product")).agg(
-        F.sum(F.col(quantity).cast("decimal(8,2)")).alias("_sold")
+        F.sum(F.col(quantity).cast(QUANTITY)).cast(QUANTITY).alias("_sold")
     )
-    priced = products.select(F.col(product).alias("_product"), F.col(price).cast("decimal(9,2)").alias("_price"))
+    priced = products.select(F.col(product).alias("_product"), F.col(price).cast(PRICE).alias("_price"))
     return sold.join(priced, "_product").agg(
         F.sum(F.col("_sold") * F.col("_price")).cast("double").alias("total_revenue")
     )

@@ -392,11 +392,11 @@ ORACLE: dict[str, str] = {
         )
         SELECT *, CAST(rank() OVER (ORDER BY total DESC) AS INTEGER) AS place FROM board""",
     "prediction_match": f"""WITH {PAIRS},
-        tests AS (SELECT conv_id || '-' || turn AS test_id, a AS expected, q AS accepted FROM pairs),
+        tests AS (SELECT conv_id || '-' || turn AS test_id, turn, a AS expected, q AS accepted FROM pairs),
         answers AS (
           SELECT 'spaced' AS model, test_id, '  ' || replace(expected, ' ', '  ') || ' ;' AS sql FROM tests
           UNION ALL SELECT 'lowered', test_id, lower(expected) FROM tests
-          UNION ALL SELECT 'other', test_id, accepted FROM tests
+          UNION ALL SELECT 'other', test_id, accepted FROM tests WHERE turn % 4 = 0
           UNION ALL SELECT 'wrong', test_id, 'not ' || accepted FROM tests
         ),
         judged AS (
@@ -404,8 +404,8 @@ ORACLE: dict[str, str] = {
           FROM answers JOIN tests USING (test_id)
         )
         SELECT model, count(*) AS answers, CAST(sum(strict_hit) AS BIGINT) AS strict,
-               CAST(sum(folded_hit) AS BIGINT) AS folded, avg(strict_hit) AS strict_rate,
-               avg(folded_hit) AS folded_rate
+               CAST(sum(folded_hit) AS BIGINT) AS folded, sum(strict_hit) / (SELECT count(*) FROM tests) AS strict_rate,
+               sum(folded_hit) / (SELECT count(*) FROM tests) AS folded_rate
         FROM judged GROUP BY model""",
     "resultset_diff": """
         SELECT c_custkey, c_name, CAST(0 AS BIGINT) AS missing, count(*) - 1 AS surplus

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sqlcorpus.operators.ordering import sliced
 from sqlcorpus.operators import curves
 
 # Least loss of each run and the band it falls in.
@@ -56,12 +57,13 @@ def test_axis_counts_rows_not_steps(spark, rows):
         ("a", 2, 250), ("a", 6, 500), ("a", 7, 750), ("b", 40, 250)]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10 ** 6])
-def test_description_is_the_same_whichever_way_it_is_computed(spark, hot_rows):
+@pytest.mark.parametrize("cuts, least", [(1, 1), (50, 1), (1 << 16, 1 << 12)])
+def test_description_is_the_same_however_runs_are_cut(spark, monkeypatch, cuts, least):
+    monkeypatch.setattr(curves, "sliced", lambda *a, **k: sliced(*a, **k, least=least))
     rng = random.Random(4)
     data = {"big": [rng.choice([rng.random(), 0.5]) for _ in range(1001)], "wide": [10 ** rng.uniform(-6, 6) for _ in range(400)],
             "same": [2.0] * 90, "one": [7.0], "two": [1.0, 2.0], "holes": [None, 3.0, None, 1.0]}
-    got = curves.describe_runs(long(spark, data), hot_rows).toPandas().set_index("run")
+    got = curves.describe_runs(long(spark, data), cuts).toPandas().set_index("run")
     import pandas as pd
     for run, losses in data.items():
         want = pd.Series(losses, dtype="float64").describe()
@@ -71,5 +73,5 @@ def test_description_is_the_same_whichever_way_it_is_computed(spark, hot_rows):
                 assert pd.isna(got.loc[run, mine])
             else:
                 assert got.loc[run, mine] == pytest.approx(want[theirs], rel=1e-12)
-    order = [r["run"] for r in curves.runs_by_min(curves.describe_runs(long(spark, data), hot_rows)).collect()]
+    order = [r["run"] for r in curves.runs_by_min(curves.describe_runs(long(spark, data), cuts)).collect()]
     assert order[0] == "one" and order[1] == "same"

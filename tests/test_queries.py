@@ -17,8 +17,8 @@ NAMES = sorted(library.queries())
 @pytest.fixture(scope="module")
 def con(spark):
     yield database(SMALL)
-    for view in ("dataset_translation", "stored_supplier"):  # left by two of the queries
-        spark.catalog.dropTempView(view)
+    for found in spark.catalog.listDatabases("q_*"):  # in which queries store their tables
+        spark.sql(f"DROP DATABASE `{found.name}` CASCADE")
 
 
 def test_every_query_has_sql():
@@ -27,7 +27,14 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
+    views = spark.catalog.listTables()
     assert differs(spark, con, SMALL, name) is None
+    assert spark.catalog.listTables() == views
+
+
+def test_a_class_is_read_from_its_folders_alone(spark):
+    text = plan(contract.queries()["filter_class"](spark, SMALL))
+    assert "PartitionFilters: [isnotnull(class" in text and "generation" in text and "texts" in text
 
 
 def plan(df):

@@ -47,11 +47,13 @@ def test_prediction_match(spark):
     ], "test_id string, expected string, accepted string")
     answers = spark.createDataFrame([
         ("m1", "0", "select * from users where id < 5;"), ("m1", "2", "SELECT *  FROM Orders\nWHERE DATE = DATE('now');"),
+        ("m3", "4", "SELECT 1 WHERE n = 'Books'"),  # the others it leaves out
         ("m1", "4", "select 1 where n = 'books'"), ("m2", "0", "SELECT * FROM Users"), ("m2", "2", None),
     ], "model string, test_id string, sql string")
     got = {r["model"]: tuple(r)[1:] for r in evaluate.prediction_match(golden, answers).collect()}
     assert got["m1"] == (3, 1, 3, pytest.approx(1 / 3), 1.0)
     assert got["m2"] == (2, 0, 0, 0.0, 0.0)
+    assert got["m3"] == (1, 1, 1, pytest.approx(1 / 3), pytest.approx(1 / 3))
 
 
 def test_resultset_diff_counts_copies(spark, rows):

@@ -1,0 +1,93 @@
+"""Stored datasets: replaced, listed, split by their row keys."""
+
+import hashlib
+import math
+
+import pytest
+
+from sqlcorpus.plans import corpus, training
+from sqlcorpus.plans.templates import ROW_KEY, CorpusTables, dataset, datasets_long
+from sqlcorpus.sinks.tables import create_table, open_store, replace_table, stored_name
+from sqlcorpus.sources.tables import list_datasets, load_dataset_by_name
+
+SOURCES = {"completion": ("p",), "finished": ("d", "p"), "paired": ("p",), "bare": ("b",), "system prompt": ("s",)}
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    gen = spark.range(700).selectExpr("id index", "concat('q', id) question", "'c' context", "concat('a', id) answer", "'NULL' extra", "'g' source")
+    ins = spark.range(400).selectExpr(
+        "id index", "concat('t', id) text", "concat('i', id) input", "concat('o', id) output", "element_at(array('p', 'd', 'b', 's'), cast(id % 4 as int) + 1) source")
+    return CorpusTables(gen, ins, ins.filter("source = 's'"), SOURCES)
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    name = open_store(spark, "training_tests", str(tmp_path_factory.mktemp("store's")))
+    yield name
+    spark.sql(f"DROP DATABASE `{name}` CASCADE")
+
+
+@pytest.mark.parametrize("name", ["text_instruct", "sys_prompt", "text_completition"])
+def test_row_keys_are_unique_though_the_index_repeats(tables, name):
+    rows = dataset(name, tables, keyed=True).collect()
+    assert len({r[ROW_KEY] for r in rows}) == len(rows) > 0
+    plain = dataset(name, tables)
+    assert ROW_KEY not in plain.columns and sorted(r["text"] for r in plain.collect()) == sorted(r["text"] for r in rows)
+    if name == "text_instruct":  # source p is in two of its groups
+        assert len({r["index"] for r in rows}) < len(rows)
+    long = datasets_long(tables, keyed=True).filter(f"dataset = '{name}'").collect()
+    assert {(r[ROW_KEY], r["text"]) for r in long} == {(r[ROW_KEY], r["text"]) for r in rows}
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_split_of_a_stored_dataset(spark, tables, store, seed):
+    corpus.create_datasets(tables, ["text_instruct"], overwrite=True, keyed=True, database=store)
+    found = training.split_stored_dataset(spark, "Instruct dataset", seed, database=store).collect()
+    keys = sorted((r[ROW_KEY] for r in found), key=lambda k: (hashlib.md5(f"{k}#{seed}".encode()).hexdigest(), k))
+    n_test = math.ceil(0.3 * len(keys))
+    assert {r[ROW_KEY] for r in found if r["side"] == "test"} == set(keys[:n_test])
+    train, evaluated = training.training_sets(spark, "Instruct dataset", seed, cap=50, database=store)
+    assert {r[ROW_KEY] for r in train.collect()} == set(keys[n_test:])
+    assert {r[ROW_KEY] for r in evaluated.collect()} == set(keys[:50])
+
+
+def test_a_dataset_without_keys_cannot_be_split(spark, tables, store):
+    corpus.create_datasets(tables, ["chatbot"], overwrite=True, database=store)
+    with pytest.raises(ValueError, match="keyed=True"):
+        training.split_stored_dataset(spark, "Chatbot dataset", database=store)
+
+
+def test_a_write_that_fails_leaves_the_older_table(spark, store):
+    replace_table(spark.range(3), f"{store}.swapped")
+    with pytest.raises(Exception, match="broken"):
+        replace_table(spark.range(9).selectExpr("if(id = 7, raise_error('broken'), id) id"), f"{store}.swapped")
+    assert spark.table(f"{store}.swapped").count() == 3
+    replace_table(spark.range(5).selectExpr("id", "'x' other"), f"{store}.swapped")
+    assert spark.table(f"{store}.swapped").columns == ["id", "other"] and spark.table(f"{store}.swapped").count() == 5
+
+
+def test_datasets_of_a_store(spark, tables, store):
+    create_table(spark.range(1), f"{store}.dataset_mine", overwrite=True)
+    spark.range(1).createOrReplaceTempView("dataset_passing")
+    try:
+        assert "dataset_mine" in list_datasets(spark, database=store)
+        assert "dataset_passing" not in list_datasets(spark, database=store)
+    finally:
+        spark.catalog.dropTempView("dataset_passing")
+    with pytest.raises(KeyError):
+        load_dataset_by_name(spark, "chatbot", store)
+
+
+def test_a_table_for_every_file(spark, tmp_path, store):
+    (tmp_path / "raw" / "f").mkdir(parents=True)
+    for name in ("a b", "a.b", "A_x"):
+        (tmp_path / "raw" / "f" / f"{name}.csv").write_text("z,b,a\n" + "".join(f"{name}{i},2,3\n" for i in range(3)))
+    staged = corpus.stage_sources(spark, str(tmp_path / "raw"), str(tmp_path / "staged"))
+    names = corpus.store_source_tables(staged, store)
+    assert names == {"A_x": "A_x5f_x", "a b": "a_x20_b", "a.b": "a_x2e_b"}
+    for name, table in names.items():
+        rows = spark.table(f"{store}.{table}").collect()
+        assert sorted((r["index"], r["question"]) for r in rows) == [(i, f"{name}{i}") for i in range(3)]
+    assert corpus.store_source_tables(staged, store) == names  # replaces
+    assert len({stored_name(n) for n in ("a_x20_b", "a b", "a_b", "a-b")}) == 4
