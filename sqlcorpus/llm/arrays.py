@@ -1,8 +1,8 @@
 """Vectorised work on many texts laid end to end: words, hashes and windows.
 
-Everything here is a small helper for Arrow batches inside tasks. Hashes are sums of random
-byte values times powers of an odd number modulo 2**64, so that the hash of any stretch is a
-difference of two prefix sums; they are mixed before use.
+Everything here is a small helper for Arrow batches inside tasks. The hash of a stretch is that of its symbols as digits to
+a random base modulo the prime 2**61 - 1, so that it is a difference of two prefix sums, and different stretches
+of n symbols share one with a chance of n in 2**61, whatever they look like. Hashes are mixed before use.
 """
 
 from __future__ import annotations
@@ -31,8 +31,28 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=np.uint64)
 
 
-BYTE_VALUES = random_words(256, 1)
-BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64)
+PRIME = (1 << 61) - 1
+P, LOW31, LOW30 = U(PRIME), U((1 << 31) - 1), U((1 << 30) - 1)
+BYTE_VALUES = (random_words(256, 1) & LOW30).astype(np.uint32)  # below 2**30, all different
+BASE = 0x0B5A9D3C71E24F86
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo the prime."""
+    x = (x & P) + (x >> U(61))
+    return np.where(x >= P, x - P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it, in halves of 30 and 31 bits that never overflow."""
+    high, low = a >> U(31), a & LOW31
+    if b.dtype == np.uint32:  # below 2**30
+        b = b.astype(np.uint64)
+        middle, rest = high * b, low * b
+    else:
+        b_high, b_low = b >> U(31), b & LOW31
+        middle, rest = high * b_low + low * b_high, low * b_low + (high * b_high << U(1))
+    return reduced((rest & P) + (rest >> U(61)) + ((middle & LOW30) << U(31)) + (middle >> U(30)))
 
 
 class Powers:
@@ -42,10 +62,11 @@ class Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up = np.cumprod(np.r_[U(1), np.full(size - 1, BASE, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[U(1), np.full(size - 1, INVERSE, np.uint64)], dtype=np.uint64)
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up, self.down = (
+                np.r_[known, times(known, np.full(1, pow(base, size, PRIME), np.uint64))]
+                for known, base in ((self.up, BASE), (self.down, pow(BASE, -1, PRIME))))
         return self.up[:n], self.down[:n]
 
 
@@ -54,13 +75,16 @@ POWERS = Powers()
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Sums from which ``stretch_hash`` takes the hash of any stretch; one longer than ``values``."""
+    powers = POWERS.get(len(values) + 1)[0][:-1]
+    terms = times(powers, values if values.dtype == np.uint32 else reduced(values))
+    high, low = np.cumsum(terms >> U(31), dtype=np.uint64), np.cumsum(terms & LOW31, dtype=np.uint64)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * POWERS.get(len(values) + 1)[0][:-1], out=out[1:])
+    out[1:] = reduced(reduced(low) + ((high & LOW30) << U(31)) + (high >> U(30)))
     return out
 
 
 def stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * POWERS.get(len(sums))[1][start] + mix((end - start).astype(np.uint64)))
+    return mix(times(reduced(sums[end] + P - sums[start]), POWERS.get(len(sums))[1][start]) + mix((end - start).astype(np.uint64)))
 
 
 def all_stretches(sums: np.ndarray, length: int) -> np.ndarray:
@@ -68,7 +92,7 @@ def all_stretches(sums: np.ndarray, length: int) -> np.ndarray:
     n = len(sums) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((sums[length:] - sums[:n]) * POWERS.get(len(sums))[1][:n] + mix(np.full(1, length, np.uint64)))
+    return mix(times(reduced(sums[length:] + P - sums[:n]), POWERS.get(len(sums))[1][:n]) + mix(np.full(1, length, np.uint64)))
 
 
 def lay_out(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
