@@ -1,7 +1,8 @@
 """Suffix-array dedup of byte strings that occur more than once.
 
 The texts around repeated anchors (see ``windows``) are cut into phrases at borders that two
-neighbouring bytes decide; the suffix array of the phrases is built by linear grouping. Phase one
+neighbouring bytes decide; the suffix array of the phrases is built by linear grouping. Windows are equal if their
+whole phrases lie in one run of suffixes that share as many phrases, and the few bytes before and after are equal. Phase one
 takes the groups of suffixes with equal Lyndon prefixes in descending order and, by pointers to
 the previous smaller suffix, moves the suffixes in front of them to larger groups. Phase two
 emits each group's order from the suffixes already emitted. No renaming, no recursion.
@@ -22,7 +23,8 @@ from sqlcorpus.llm.windows import Windows, merged, repeated_spans
 
 LENGTH, ANCHOR = 400, 100
 PHRASE = 16  # bytes that a phrase has on average
-BORDER = mix(BYTE_VALUES[:, None] + (BYTE_VALUES[None, :] << U(1))) % U(PHRASE) == 0
+PAIRS = BYTE_VALUES.astype(np.uint64)
+BORDER = mix(PAIRS[:, None] + (PAIRS[None, :] << U(31))) % U(PHRASE) == 0
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -94,13 +96,13 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def neighbour_matches(text: list[int], order: list[int]) -> np.ndarray:
-    """For each suffix the longest prefix, in symbols, that it shares with any other one."""
+def shared_prefixes(text: list[int], order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each suffix, and by rank how many symbols a suffix shares with the one before it."""
     n = len(text)
     rank = [0] * n
     for r, s in enumerate(order):
         rank[s] = r
-    shared = np.zeros(n + 1, np.int64)  # with the one before, by rank
+    shared = np.zeros(n, np.int64)
     k = 0
     for i in range(n):
         if not rank[i]:
@@ -111,17 +113,15 @@ def neighbour_matches(text: list[int], order: list[int]) -> np.ndarray:
             k += 1
         shared[rank[i]] = k
         k = k - 1 if k else 0
-    best = np.maximum(shared[:-1], shared[1:])
-    out = np.empty(n, np.int64)
-    out[order] = best
-    return out
+    return np.array(rank, np.int64), shared
 
 
 def mark_equal(frame: pd.DataFrame, w: Windows) -> pd.DataFrame:
-    """Windows of each text that are equal to one of another text around the same anchor.
+    """Windows of each text that are equal to one of another text of the shard.
 
-    The suffix array tells how long the phrases that start in a window occur elsewhere; where all
-    whole phrases of a window do, its bytes are compared by hash with those of the other windows.
+    Windows with as many whole phrases are equal only if the suffixes at their first border lie in one run of the
+    suffix array in which each shares at least these phrases with the one before. The bytes in front of the first and
+    behind the last border, less than a phrase each, are told apart by hash; so is a window without whole phrases.
     """
     texts = [bytes(c) for c in frame["context"]]
     size = np.array([len(t) for t in texts])
@@ -139,26 +139,28 @@ def mark_equal(frame: pd.DataFrame, w: Windows) -> pd.DataFrame:
     kinds = int(code.max()) + 1 if len(code) else 0
     symbols = np.insert(code + 1, after, kinds + 1 + np.arange(len(texts)))
     string = [*symbols.tolist(), 0]
-    best = neighbour_matches(string, suffix_array(string))[:-1]
-    # only phrases that bytes inside the text decide: the first and last of a text are cut where it is
-    of_phrase = np.delete(best, after + np.arange(len(texts)))
-    inner = ~np.isin(border, start)
-    solid = np.flatnonzero(inner)  # numbers of borders that texts decide themselves
+    rank, shared = shared_prefixes(string, suffix_array(string))
+    of_phrase = np.delete(rank[:-1], after + np.arange(len(texts)))  # by number of the phrase
+    # only borders that bytes inside the text decide: the first and last of a text are cut where it is
+    solid = np.flatnonzero(~np.isin(border, start))
     at_border = border[solid]
 
     count = size - w.length + 1
     text = np.repeat(np.arange(len(texts)), count)
     first = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + start[text]
-    lo, hi = np.searchsorted(at_border, first, "right"), np.searchsorted(at_border, first + w.length, "left") - 1
-    whole = hi - lo  # phrases between the first and last border inside the window
-    likely = whole <= 0
-    sure = np.flatnonzero(~likely)
-    likely[sure] = of_phrase[solid[lo[sure]]] >= whole[sure]
-    first, text = first[likely], text[likely]
-    off = start[text] + frame["lead"].to_numpy()[text] - first
-    same = mix(frame["g"].to_numpy().view(np.uint64)[text] ^ mix(off.astype(np.uint64))) ^ stretch_hash(sums, first, first + w.length)
-    _, back, times = np.unique(same, return_inverse=True, return_counts=True)
+    end = first + w.length
+    lo, hi = np.searchsorted(at_border, first, "right"), np.searchsorted(at_border, end, "left") - 1
+    whole = np.maximum(hi - lo, 0)  # phrases between the first and last border inside the window
+    key = stretch_hash(sums, first, end)
+    for k in np.unique(whole[whole > 0]):
+        mine = np.flatnonzero(whole == k)
+        run = np.cumsum(shared < k)[of_phrase[solid[lo[mine]]]].astype(np.uint64)
+        head = stretch_hash(sums, first[mine], at_border[lo[mine]])
+        tail = stretch_hash(sums, at_border[hi[mine]], end[mine])
+        key[mine] = mix(mix(mix(run + (U(k) << U(40))) ^ head) + tail)
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     hit = times[back] > 1
+    off = start[text] + frame["lead"].to_numpy()[text] - first
     return gathered(frame, text[hit], off[hit], w)
 
 
