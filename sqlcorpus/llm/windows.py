@@ -174,4 +174,5 @@ def repeated_spans(docs: DataFrame, w: Windows, index: Callable[[pd.DataFrame, W
     part = F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: F.struct((s["from"] + F.col("at")).alias("from"), (s["to"] + F.col("at")).alias("to"))).cast(SPAN)
     all_of_it = (first != F.col("first")) if w.earlier else (F.col("n") > 1)
     spans = here.select(*ID, F.when(all_of_it, whole).otherwise(part).alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy(*ID).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # repeated rows of one id and text have equal spans, which are kept once
+    return spans.groupBy(*ID).agg(F.flatten(F.collect_set("spans")).alias("spans"))
