@@ -21,7 +21,7 @@ from sqlcorpus.llm.arrays import in_slices
 from sqlcorpus.llm.tables import quoted, small_batches, without
 
 MARK = "▁"
-CACHED = 250_000  # units whose pieces a worker remembers
+CACHED = 250_000  # units whose pieces a worker remembers, besides those of the texts at hand
 BATCH = 1 << 19  # characters encoded together
 SPANS = "ids array<int>, starts array<int>, ends array<int>"
 
@@ -90,8 +90,6 @@ class Pieces:
 
     def _learn(self, units: set[str]) -> None:
         """Appends the pieces of new units to ``ids``; ``first`` tells where each unit's begin."""
-        if len(self.known) + len(units) > CACHED:
-            self._forget()
         new = list(units)
         found = self.segmenter.encode(new, num_threads=1)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
@@ -142,11 +140,13 @@ class Pieces:
         """Per text ids with begin and end, and first and past-last source byte of each (empty at begin and end)."""
         normal = [self.normalise(t) for t in texts]
         units = [self.unit.findall(norm) for norm, _ in normal]
-        new = {u for us in units for u in us} - self.known.keys()
+        needed = {u for us in units for u in us}
+        new = needed - self.known.keys()
+        if new and len(self.known) + len(new) > CACHED:  # all but what these texts need is forgotten
+            self._forget()
+            new = needed
         if new:
             self._learn(new)
-            if len(missing := {u for us in units for u in us} - self.known.keys()):  # the memory was cleared
-                self._learn(missing)
         out = []
         for us, (_, source) in zip(units, normal):
             number = np.fromiter(map(self.known.__getitem__, us), np.int64, len(us))
@@ -190,6 +190,20 @@ def encode(docs: DataFrame, proto: bytes) -> DataFrame:
     return rows.withColumn("e", F.pandas_udf(run, SPANS)("text")).select("row.*", "e.*")
 
 
+def decode(encoded: DataFrame, proto: bytes) -> DataFrame:
+    """All columns, with ``text``: what the ids in ``ids`` decode to. Null ids give a null text; a column ``text`` gives way."""
+    small_batches(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(proto)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        library = pieces(shared.value).library
+        for ids in batches:
+            yield pd.Series([None if i is None else library.decode(i.tolist()) for i in ids])
+
+    others = [F.col(quoted(c)) for c in without(encoded, ["text"])]
+    return encoded.withColumn("text", F.pandas_udf(run, "string")("ids")).select(*others, "text")
+
+
 def digest(encoded: DataFrame, proto: bytes) -> DataFrame:
     """``n_tokens``, ``ids_sha256``, ``decoded_sha256`` beside the columns of ``encoded``, from its ``ids``."""
     import hashlib
