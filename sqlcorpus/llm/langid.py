@@ -22,7 +22,7 @@ BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 SAMPLE_PER_LABEL = 400  # bound on the labelled rows the model is fitted on, per language
 STEPS = 640  # of gradient descent, at least
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -49,6 +49,11 @@ def grams(buf: np.ndarray, order: int) -> np.ndarray:
     return code >> np.uint32(32 - 15)
 
 
+def has_letter(text: str) -> bool:
+    """Digits of other kinds, fractions and the like are no letters."""
+    return any(sign[0].isalpha() for sign in WORD_SIGN.finditer(text))
+
+
 def folded(texts: pd.Series) -> list[bytes]:
     return encoded(texts.where(texts.notna(), "").str.lower())
 
@@ -173,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 np.cumsum(m.logits[:, k][bucket], out=run[1:])
                 sums[:, k] += run[np.minimum(starts[:-1] + valid, len(bucket))] - run[np.minimum(starts[:-1], len(bucket))]
             count += valid
-        letters = np.array([bool(LETTER.search(t)) if t is not None and t == t else False for t in texts], bool)
+        letters = np.array([has_letter(t) if t is not None and t == t else False for t in texts], bool)
         if m.labels:
             probs = _softmax((sums / np.maximum(count, 1)[:, None] + m.bias) / m.temperature)
             best, top = probs.argmax(1), probs.max(1)
