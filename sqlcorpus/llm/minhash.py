@@ -137,16 +137,8 @@ def link_block(frame: pd.DataFrame, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
-    """``doc_id``, ``key``, ``n_shingles``, ``component_id``, ``kept``, one row per document.
-
-    Linked are documents whose shingle sets meet in at least ``least`` per cent of their union
-    (confirmed on full sets; the signature radius follows from ``least`` and misses about one in a
-    thousand pairs that are exactly at it, hardly any three above). Equal sets are one node, so copies never make pairs.
-    Empty and null texts are linked with nothing; a null doc_id counts after all others as
-    smallest id, and is null where no other is reachable. Repeated rows are linked like any
-    copies. Clusters that are large are compared block by block, each block against each.
-    """
+def grouped(docs: DataFrame, least: int) -> DataFrame:
+    """``no_id``, ``doc_id`` (0 where null), ``key``, ``n``, ``root``, ``component_id`` per document; the first two without a group where n is 0."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = identified(docs)
@@ -195,28 +187,45 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
 
     links = components(spread.groupBy("task").applyInPandas(link, "a long, b long"))
     first_id = F.when(~F.col("first.no_id"), F.col("first.doc_id")).alias("first_id")
-    grouped = nodes.select("node", "h1", "h2", "n", first_id).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least_id, "root").select("h1", "h2", "n", "component_id")
-    return rows.select(given_id(), "key", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    rooted = nodes.select("node", "h1", "h2", "n", first_id).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = rooted.join(least_id, "root").select("h1", "h2", "n", "root", "component_id")
+    return rows.select(*ID, "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select(*ID, "n", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
+    """``doc_id``, ``key``, ``n_shingles``, ``component_id``, ``kept``, one row per document.
+
+    Linked are documents whose shingle sets meet in at least ``least`` per cent of their union
+    (confirmed on full sets; the signature radius follows from ``least`` and misses about one in a
+    thousand pairs that are exactly at it, hardly any three above). Equal sets are one node, so copies never make pairs.
+    Empty and null texts are linked with nothing; a null doc_id counts after all others as
+    smallest id, and is null where no other is reachable. Repeated rows are linked like any
+    copies. Clusters that are large are compared block by block, each block against each.
+    """
+    found = grouped(docs, least)
+    return found.select(
+        given_id(), "key", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(given_id()).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
-    """One document of each group, the one with the smallest id; same columns. Texts without words all stay."""
-    found = near_duplicates(docs, least).where("kept")
-    once = found.groupBy("doc_id", "key").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("times"), F.max("component_id").alias("c"))
-    # an id that stands for its group in several texts, or rows: the text with the smallest key, once
-    once = stage(once.withColumnsRenamed({"doc_id": "k_id", "key": "k_key"}))
-    twice = once.where("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("k_key").alias("only"), F.sum("times").alias("t")).where("t > 1 and c is not null")
-    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in without(docs, [])]).alias("row"), F.col("doc_id").alias("d"), text_key().alias("k"))
-    kept = rows.join(once, rows["d"].eqNullSafe(once["k_id"]) & (rows["k"] == once["k_key"]))
-    if twice.isEmpty():
-        return kept.select("row.*")
-    twice = twice.select(F.col("c").alias("t_c"), "only")
-    marked = kept.join(twice, (kept["c"] == twice["t_c"]) & (kept["n"] > 0), "left")
-    single = marked.where("only is null").select("row")
-    first = marked.where("only = k").groupBy("c").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(first).select("row.*")
+    """One document of each group, the one with the smallest id (null last), then key of the text; same columns.
+
+    Groups are those of linked texts, whatever their ids: unrelated texts under one id are two groups, and copies
+    without any id are one. Of rows that repeat the id and the text that stays, one stays. Texts without
+    words all stay.
+    """
+    found = grouped(docs, least)
+    times = found.groupBy("root", *ID).agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+    first = times.where("n > 0").groupBy("root").agg(F.min(F.struct(*ID, "times")).alias("f")).select("f.*")
+    empty = times.where("n = 0").select(*ID, F.lit(1).cast("long").alias("times"))
+    stay = stage(first.unionByName(empty))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), text_key().alias("key"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in without(docs, [])]).alias("row"), own.alias("own")).select("row", "own.*")
+    kept = rows.join(stay, ID)
+    single = kept.where("times = 1").select("row")
+    if stay.where("times > 1").isEmpty():
+        return single.select("row.*")
+    return single.unionByName(kept.where("times > 1").groupBy(*ID).agg(F.first("row").alias("row")).select("row")).select("row.*")
