@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents but the text, with its ids and their byte spans."""
-    return sentence_pieces.encode(docs, piece_model()).drop("text")
+    """Documents with the ids of their texts, the byte spans of each, and as text what the ids decode to."""
+    return sentence_pieces.decode(sentence_pieces.encode(docs, piece_model()), piece_model())
 
 
 STAGES = [
