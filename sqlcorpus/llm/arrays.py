@@ -2,7 +2,8 @@
 
 Everything here is a small helper for Arrow batches inside tasks. The hash of a stretch is that of its symbols as digits to
 a random base modulo the prime 2**61 - 1, so that it is a difference of two prefix sums, and different stretches
-of n symbols share one with a chance of n in 2**61, whatever they look like. Hashes are mixed before use.
+of n symbols share one with a chance of n in 2**61, whatever they look like. Words have a simpler hash of their own.
+Hashes are mixed before use.
 """
 
 from __future__ import annotations
@@ -35,24 +36,45 @@ PRIME = (1 << 61) - 1
 P, LOW31, LOW30 = U(PRIME), U((1 << 31) - 1), U((1 << 30) - 1)
 BYTE_VALUES = (random_words(256, 1) & LOW30).astype(np.uint32)  # below 2**30, all different
 BASE = 0x0B5A9D3C71E24F86
+# a word's hash is the sum of these over its first bytes, by place and byte, and of mixed values over the rest
+PLACES = 32
+AT_PLACE = random_words(PLACES * 256, 2)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values, modulo the prime but up to 7 above it."""
+    low = x & P
+    low += x >> U(61)
+    return low
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
     """Any 64-bit values modulo the prime."""
-    x = (x & P) + (x >> U(61))
-    return np.where(x >= P, x - P, x)
+    x = folded(x)
+    x -= P * (x >= P)
+    return x
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo the prime of values below it, in halves of 30 and 31 bits that never overflow."""
+    """Products of folded values, themselves not folded; in halves of 30 and 31 bits that never overflow."""
     high, low = a >> U(31), a & LOW31
     if b.dtype == np.uint32:  # below 2**30
-        b = b.astype(np.uint64)
-        middle, rest = high * b, low * b
+        high *= b
+        low *= b
     else:
         b_high, b_low = b >> U(31), b & LOW31
-        middle, rest = high * b_low + low * b_high, low * b_low + (high * b_high << U(1))
-    return reduced((rest & P) + (rest >> U(61)) + ((middle & LOW30) << U(31)) + (middle >> U(30)))
+        top = high * b_high
+        top <<= U(1)
+        high *= b_low
+        high += low * b_high
+        low *= b_low
+        low = folded(low)
+        low += top
+    low += high >> U(30)
+    high &= LOW30
+    high <<= U(31)
+    low += high
+    return low
 
 
 class Powers:
@@ -65,7 +87,7 @@ class Powers:
         while len(self.up) < n:
             size = len(self.up)
             self.up, self.down = (
-                np.r_[known, times(known, np.full(1, pow(base, size, PRIME), np.uint64))]
+                np.r_[known, reduced(times(known, np.full(1, pow(base, size, PRIME), np.uint64)))]
                 for known, base in ((self.up, BASE), (self.down, pow(BASE, -1, PRIME))))
         return self.up[:n], self.down[:n]
 
@@ -74,17 +96,28 @@ POWERS = Powers()
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums from which ``stretch_hash`` takes the hash of any stretch; one longer than ``values``."""
+    """Sums from which ``stretch_hash`` takes the hash of any stretch; one longer than ``values`` (at most 2**30)."""
     powers = POWERS.get(len(values) + 1)[0][:-1]
-    terms = times(powers, values if values.dtype == np.uint32 else reduced(values))
-    high, low = np.cumsum(terms >> U(31), dtype=np.uint64), np.cumsum(terms & LOW31, dtype=np.uint64)
+    terms = folded(times(powers, values if values.dtype == np.uint32 else folded(values)))
+    high = np.cumsum(terms >> U(31), dtype=np.uint64)
+    terms &= LOW31
     out = np.zeros(len(values) + 1, np.uint64)
-    out[1:] = reduced(reduced(low) + ((high & LOW30) << U(31)) + (high >> U(30)))
+    np.cumsum(terms, out=out[1:])
+    low = out[1:]
+    low += high >> U(30)
+    high &= LOW30
+    high <<= U(31)
+    low += high
+    out[1:] = folded(low)
     return out
 
 
+def _hashed(away: np.ndarray, down: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(reduced(times(folded(away), down)) + mix(length))
+
+
 def stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(times(reduced(sums[end] + P - sums[start]), POWERS.get(len(sums))[1][start]) + mix((end - start).astype(np.uint64)))
+    return _hashed(sums[end] + U(2 * PRIME) - sums[start], POWERS.get(len(sums))[1][start], (end - start).astype(np.uint64))
 
 
 def all_stretches(sums: np.ndarray, length: int) -> np.ndarray:
@@ -92,7 +125,24 @@ def all_stretches(sums: np.ndarray, length: int) -> np.ndarray:
     n = len(sums) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix(times(reduced(sums[length:] + P - sums[:n]), POWERS.get(len(sums))[1][:n]) + mix(np.full(1, length, np.uint64)))
+    return _hashed(sums[length:] + U(2 * PRIME) - sums[:n], POWERS.get(len(sums))[1][:n], np.full(1, length, np.uint64))
+
+
+def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each word: a sum over its bytes of values that have nothing to do with each other."""
+    place = np.arange(len(buf), dtype=np.int64)
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    start = np.zeros(len(buf), np.int64)
+    start[first] = first
+    place -= np.maximum.accumulate(start)
+    far = np.flatnonzero(place >= PLACES)
+    value = AT_PLACE[np.minimum(place, PLACES - 1) * 256 + buf]
+    if len(far):
+        value[far] = mix(AT_PLACE[buf[far]] + mix(place[far].astype(np.uint64)))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    return mix(sums[last] - sums[first] + mix((last - first).astype(np.uint64)))
 
 
 def lay_out(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +165,7 @@ def words_of(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Bytes, word starts, word ends, word hashes, and the first word of each text (one more at the end)."""
     buf, starts = lay_out(texts)
     first, last = word_bounds(buf)
-    hashes = stretch_hash(prefix_sums(BYTE_VALUES[buf]), first, last)
-    return buf, first, last, hashes, np.searchsorted(first, starts)
+    return buf, first, last, word_hashes(buf, first, last), np.searchsorted(first, starts)
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:

@@ -116,8 +116,8 @@ def test_hashes_are_sums_modulo_the_prime():
     sums = arrays.prefix_sums(values)
     small = arrays.prefix_sums((values & arrays.LOW30).astype(np.uint32))
     for k in (0, 1, 2, 77, 500):
-        assert int(sums[k]) == sum(int(v) * pow(arrays.BASE, i, arrays.PRIME) for i, v in enumerate(values[:k])) % arrays.PRIME
-        assert int(small[k]) == sum((int(v) % 2**30) * pow(arrays.BASE, i, arrays.PRIME) for i, v in enumerate(values[:k])) % arrays.PRIME
+        assert int(sums[k]) % arrays.PRIME == sum(int(v) * pow(arrays.BASE, i, arrays.PRIME) for i, v in enumerate(values[:k])) % arrays.PRIME
+        assert int(small[k]) % arrays.PRIME == sum((int(v) % 2**30) * pow(arrays.BASE, i, arrays.PRIME) for i, v in enumerate(values[:k])) % arrays.PRIME
     again = arrays.prefix_sums(np.r_[values[100:200], values])
     assert (arrays.stretch_hash(sums, np.array([100]), np.array([200])) == arrays.stretch_hash(again, np.array([0]), np.array([100]))).all()
     assert (arrays.all_stretches(sums, 7)[:400] == arrays.stretch_hash(sums, np.arange(400), np.arange(400) + 7)).all()
