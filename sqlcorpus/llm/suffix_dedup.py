@@ -148,16 +148,22 @@ def mark_equal(frame: pd.DataFrame, w: Windows) -> pd.DataFrame:
     count = size - w.length + 1
     text = np.repeat(np.arange(len(texts)), count)
     first = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + start[text]
-    end = first + w.length
-    lo, hi = np.searchsorted(at_border, first, "right"), np.searchsorted(at_border, end, "left") - 1
+    lo, hi = np.searchsorted(at_border, first, "right"), np.searchsorted(at_border, first + w.length, "left") - 1
     whole = np.maximum(hi - lo, 0)  # phrases between the first and last border inside the window
-    key = stretch_hash(sums, first, end)
+    run = np.zeros(len(text), np.int64)
     for k in np.unique(whole[whole > 0]):
         mine = np.flatnonzero(whole == k)
-        run = np.cumsum(shared < k)[of_phrase[solid[lo[mine]]]].astype(np.uint64)
-        head = stretch_hash(sums, first[mine], at_border[lo[mine]])
-        tail = stretch_hash(sums, at_border[hi[mine]], end[mine])
-        key[mine] = mix(mix(mix(run + (U(k) << U(40))) ^ head) + tail)
+        run[mine] = np.cumsum(shared < k)[of_phrase[solid[lo[mine]]]]
+    front = np.where(whole > 0, at_border[np.minimum(lo, len(at_border) - 1)] - first if len(at_border) else 0, 0)
+    # equal windows agree in all three; of runs that no other window is in, no bytes are looked at
+    group = mix(mix(run.astype(np.uint64) + (whole.astype(np.uint64) << U(40))) + front.astype(np.uint64))
+    _, back, times = np.unique(group, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[back] > 1)
+    first, text, whole, group = first[some], text[some], whole[some], group[some]
+    end = first + w.length
+    head_end = np.where(whole > 0, first + front[some], end)
+    tail = np.where(whole > 0, at_border[hi[some]] if len(at_border) else 0, end)
+    key = mix(group ^ stretch_hash(sums, first, head_end)) + stretch_hash(sums, tail, end)
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     hit = times[back] > 1
     off = start[text] + frame["lead"].to_numpy()[text] - first
