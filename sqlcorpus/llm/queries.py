@@ -61,10 +61,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proto = piece_model()
-    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), proto)
-    return sentence_pieces.digest(encoded, proto).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.element_at("ends", -1).cast("long").alias("n_source_bytes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentence_pieces.encode(docs, piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.element_at("ends", -1).cast("long").alias("n_source_bytes"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ text and projected back to byte spans of the original.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -168,26 +169,47 @@ def pieces(proto: bytes) -> Pieces:
     return LOADED[proto]
 
 
-def encode(docs: DataFrame, proto: bytes) -> DataFrame:
+# what ``encode`` can add to ids and spans
+MORE = {"decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, proto: bytes, more: tuple[str, ...] = ()) -> DataFrame:
     """All columns, with ``ids`` and the byte spans ``starts``, ``ends`` that each id covers in the source text.
 
     A null or empty text has the begin and end ids alone. Spans follow each other without gaps, so
-    they also tell what a replacement or a squeezed blank came from. Columns of the same names
-    give way; an empty table gives an empty one.
+    they also tell what a replacement or a squeezed blank came from. ``more`` names further columns made of
+    the ids in the same pass: ``decoded`` (the text they decode to), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
+    Texts are taken whole; one of n bytes needs about 150 n bytes of a worker's memory. Columns of the same names give
+    way; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(proto)
-    others = without(docs, ["ids", "starts", "ends"])
+    names = ["ids", "starts", "ends", *more]
+    others = without(docs, names)
+
+    def made(model: Pieces, texts: list[str]) -> dict[str, list]:
+        found = model.encode(texts)
+        out = {"ids": [f[0] for f in found], "starts": [f[1] for f in found], "ends": [f[2] for f in found]}
+        if "decoded" in more or "decoded_sha256" in more:
+            out["decoded"] = [model.library.decode(f[0].tolist()) for f in found]
+        if "n_tokens" in more:
+            out["n_tokens"] = [len(f[0]) for f in found]
+        if "ids_sha256" in more:
+            out["ids_sha256"] = [hashlib.sha256(f[0].astype("<u4").tobytes()).hexdigest() for f in found]
+        if "decoded_sha256" in more:
+            out["decoded_sha256"] = [hashlib.sha256(d.encode("utf-8")).hexdigest() for d in out["decoded"]]
+        return {name: out[name] for name in names}
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = pieces(shared.value)
         for texts in batches:
-            found = [f for part in in_slices(iter([texts.to_frame("text")]), "text", BATCH) for f in model.encode(
-                [t if t is not None and t == t else "" for t in part["text"]])]
-            yield pd.DataFrame({"ids": [f[0] for f in found], "starts": [f[1] for f in found], "ends": [f[2] for f in found]})
+            parts = [made(model, [t if t is not None and t == t else "" for t in part["text"]])
+                     for part in in_slices(iter([texts.to_frame("text")]), "text", BATCH)]
+            yield pd.DataFrame({name: [v for part in parts for v in part[name]] for name in names})
 
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.col("text").alias("text"))
-    return rows.withColumn("e", F.pandas_udf(run, SPANS)("text")).select("row.*", "e.*")
+    schema = ", ".join([SPANS, *(f"{name} {MORE[name]}" for name in more)])
+    return rows.withColumn("e", F.pandas_udf(run, schema)("text")).select("row.*", "e.*")
 
 
 def decode(encoded: DataFrame, proto: bytes) -> DataFrame:
@@ -202,23 +224,3 @@ def decode(encoded: DataFrame, proto: bytes) -> DataFrame:
 
     others = [F.col(quoted(c)) for c in without(encoded, ["text"])]
     return encoded.withColumn("text", F.pandas_udf(run, "string")("ids")).select(*others, "text")
-
-
-def digest(encoded: DataFrame, proto: bytes) -> DataFrame:
-    """``n_tokens``, ``ids_sha256``, ``decoded_sha256`` beside the columns of ``encoded``, from its ``ids``."""
-    import hashlib
-
-    shared = encoded.sparkSession.sparkContext.broadcast(proto)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        library = pieces(shared.value).library
-        for ids in batches:
-            decoded = [library.decode(i.tolist()) for i in ids]
-            yield pd.DataFrame({
-                "n_tokens": [len(i) for i in ids],
-                "ids_sha256": [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(d.encode("utf-8")).hexdigest() for d in decoded],
-            })
-
-    made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return encoded.withColumn("digest", made("ids")).select("*", "digest.*").drop("digest")

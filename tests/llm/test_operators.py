@@ -31,7 +31,7 @@ def docs(spark, given):
 ALL = {
     "near": lambda d: minhash.near_duplicates(d), "quality": lambda d: quality.judge_quality(d),
     "mix": lambda d: mixing.mix_sources(d), "plan": lambda d: mixing.mixing_plan(d), "bytes": lambda d: suffix_dedup.dedup_bytes(d),
-    "pieces": lambda d: sentence_pieces.digest(sentence_pieces.encode(d, queries.piece_model()), queries.piece_model()),
+    "pieces": lambda d: sentence_pieces.encode(d, queries.piece_model(), tuple(sentence_pieces.MORE)),
     "words": lambda d: substring_dedup.dedup_substrings(d), "lines": lambda d: line_dedup.dedup_lines(d),
     "language": lambda d: langid.predict(d, langid.train(d, F.lit(True))), "unique": lambda d: minhash.drop_near_duplicates(d),
 }
@@ -224,7 +224,7 @@ def test_pieces_equal_the_library(docs, odd):
 def test_digest(odd):
     proto = queries.piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=proto)
-    for r in sentence_pieces.digest(sentence_pieces.encode(odd, proto), proto).select("text", "n_tokens", "ids_sha256", "decoded_sha256").collect():
+    for r in sentence_pieces.encode(odd, proto, tuple(sentence_pieces.MORE)).select("text", "n_tokens", "ids_sha256", "decoded_sha256").collect():
         ids = library.encode(r["text"] or "", add_bos=True, add_eos=True)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
