@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their texts, the byte spans of each, and as text what the ids decode to."""
-    return sentence_pieces.decode(sentence_pieces.encode(docs, piece_model()), piece_model())
+    return sentence_pieces.encode(docs, piece_model(), ("decoded",)).drop("text").withColumnRenamed("decoded", "text")
 
 
 STAGES = [
