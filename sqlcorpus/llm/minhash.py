@@ -3,15 +3,17 @@
 A document's signature has ``SYMBOLS`` symbols of 16 bits, one for each of as many min-wise
 hashes of its shingle set. Signatures that differ in at most a radius of symbols, 2 * chunks - 1, are
 found by pigeonhole: one of the chunks differs in at most radius // chunks = 1 symbol, so each chunk
-is entered once for each symbol left out, and two documents share an entry. Entries are tied to
-their smallest document; within the clusters so made, signatures are compared and links confirmed
-on the full sets, nearest pairs first, skipping pairs already connected.
+is entered once for each symbol left out, and two documents share an entry. Each entry's signatures
+are compared with that of its smallest document, and all with all only where this leaves the entry in
+several parts. Signatures within the radius make clusters, but for pairs that cannot be links, since sets
+share no more hashes of a bin than the smaller holds there. Inside of these, links are confirmed on the
+full sets, nearest pairs first, skipping pairs already connected.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ RADIUS = 2 * CHUNKS - 1  # for 85 per cent
 FLIP, FACTOR = random_words(SYMBOLS, 21), random_words(SYMBOLS, 22) | U(1)
 PLACE = random_words(SYMBOLS * (SYMBOLS + 1), 23)
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2048  # what one side of a comparison holds
+BINS, FULL = 256, 255  # bins of a set's hashes, and the count that stands for as many or more
+SHARD_ROWS = 20_000  # signatures of small entries that one task compares
 
 
 def chunks_for(least: int) -> int:
@@ -68,14 +72,17 @@ def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = shingle_sets(encoded(frame["text"]))
         full = [k for k, s in enumerate(sets) if len(s)]
         sign: list[bytes | None] = [None] * len(sets)
+        bins: list[bytes | None] = [None] * len(sets)
         h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
         if full:
             for k, row in zip(full, signatures([sets[k] for k in full])):
                 sign[k] = row.tobytes()
-                h1[k], h2[k] = mix(sets[k] ^ U(0xA5A5)).sum(), mix(sets[k] ^ U(0xC3C3C3)).sum()
+                mixed = mix(sets[k] ^ U(0xA5A5))
+                h1[k], h2[k] = mixed.sum(), mix(sets[k] ^ U(0xC3C3C3)).sum()
+                bins[k] = np.minimum(np.bincount((mixed >> U(56)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
         yield pd.DataFrame({
             **{c: frame[c].to_numpy() for c in ID}, "n": [len(s) for s in sets],
-            "h1": h1.view(np.int64), "h2": h2.view(np.int64), "sign": sign})
+            "h1": h1.view(np.int64), "h2": h2.view(np.int64), "sign": sign, "bins": bins})
 
 
 def entries(frames: Iterator[pd.DataFrame], chunks: int = CHUNKS) -> Iterator[pd.DataFrame]:
@@ -94,13 +101,110 @@ def entries(frames: Iterator[pd.DataFrame], chunks: int = CHUNKS) -> Iterator[pd
             "entry": np.stack(keys, 1).ravel().view(np.int64), "node": np.repeat(frame["node"].to_numpy(), SYMBOLS)})
 
 
+def stacked(signs: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint16).reshape(-1, SYMBOLS)
+
+
+def stacked_bins(bins: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+
+
+def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """False where sets of ``n`` and ``m`` hashes with the bins ``a`` and ``b`` are no link, whatever the hashes are."""
+    shared = np.minimum(a, b)
+    most = np.where((shared == FULL).any(-1), np.minimum(n, m), shared.sum(-1, dtype=np.int64))
+    return 100 * most >= least * (n + m - most)
+
+
+def bridges(frame: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Parts that possible links within the radius join, for each entry, or pair of blocks of one, that the rows belong to."""
+    radius = 2 * chunks_for(least) - 1
+    frame = frame.sort_values(["entry", "i", "j", "root"])
+    where = frame[["entry", "i", "j"]].to_numpy()
+    part, side, n = (frame[c].to_numpy() for c in ("root", "side", "n"))
+    sign, bins = stacked(frame["sign"]), stacked_bins(frame["bins"])
+    bounds = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(frame)]
+    out = set()
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        crossing = where[lo, 1] != where[lo, 2]
+        for a in range(lo, hi - 1):
+            # rows lie by part: those of later parts have not been compared with this one
+            rest = np.arange(np.searchsorted(part[lo:hi], part[a], "right") + lo, hi)
+            if crossing:
+                rest = rest[side[rest] != side[a]]
+            met = rest[(sign[rest] != sign[a]).sum(1) <= radius]
+            met = met[possible(n[a], n[met], bins[a], bins[met], least)]
+            out.update((part[a], b) for b in np.unique(part[met]))
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+
+def radius_clusters(nodes: DataFrame, least: int) -> DataFrame:
+    """``node``, ``root`` of the nodes (``node``, ``n``, ``sign``, ``bins``) that may be linked with another, directly or by others.
+
+    Pairs within the radius share an entry. An entry whose nodes are in one part after each was compared
+    with the smallest says no more; of the others, one of those with equal nodes is compared all with all,
+    large ones block by block. So a pair may go uncompared only where both are in one cluster anyway.
+    """
+    chunks = chunks_for(least)
+    radius = 2 * chunks - 1
+
+    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return entries(frames, chunks)
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = (stacked(frame["sign"]) != stacked(frame["sign_b"])).sum(1) <= radius
+            yield frame.loc[near & possible(
+                frame["n"].to_numpy(), frame["n_b"].to_numpy(), stacked_bins(frame["bins"]), stacked_bins(frame["bins_b"]), least), ["a", "b"]]
+
+    index = nodes.select("node", "sign").mapInPandas(enter, "entry long, node long")
+    hubs = index.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    shared = stage(index.join(hubs, "entry"))
+    ties = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    sketch = ["n", "sign", "bins"]
+    signed_ties = ties.join(nodes.select(F.col("node").alias("a"), *sketch), "a").join(
+        nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in sketch]), "b")
+    parts = stage(components(signed_ties.mapInPandas(within, "a long, b long")))
+
+    placed = shared.select("entry", "node").distinct().join(parts, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
+    # two nodes that are apart have been compared; entries of the same nodes are told by their hashes
+    open_entries = placed.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 2 and low < high")
+    alone = stage(open_entries.groupBy("m", "x", "y").agg(F.min("entry").alias("entry")).select(
+        "entry", "m", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")))
+    rows = alone.agg(F.sum(F.when(F.col("blocks") == 1, F.col("m")))).first()[0] or 0
+    shards = int(rows // SHARD_ROWS) + 8
+    spread = blocked(placed.join(alone, "entry").join(nodes.select("node", *sketch), "node"), "entry", shards)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return bridges(frame, least)
+
+    joined = components(spread.select("task", "entry", "root", *sketch, "side", "i", "j").groupBy("task").applyInPandas(compare, "a long, b long"))
+    joined = stage(joined.select(F.col("node").alias("part"), F.col("root").alias("whole")))
+    # a part may be a node that is near none of its entries' smallest
+    known = parts.unionByName(joined.join(parts, joined["part"] == parts["node"], "left_anti").select(F.col("part").alias("node"), F.col("part").alias("root")))
+    return known.join(joined, known["root"] == joined["part"], "left").select("node", F.coalesce("whole", "root").alias("root"))
+
+
+def blocked(rows: DataFrame, group: str, shards: int) -> DataFrame:
+    """Rows with ``side``, their block, once for each pair of blocks ``i``, ``j`` of their group, and the ``task`` of that pair.
+
+    Groups of one block share ``shards`` tasks.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(shards))).otherwise(F.xxhash64(group, "i", "j"))
+    return rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).withColumn("task", task)
+
+
 def link_block(frame: pd.DataFrame, least: int) -> list[tuple[int, int]]:
     """A spanning forest of the confirmed links among one cluster's rows, or between two blocks of it."""
     frame = frame.drop_duplicates("node")
     node = frame["node"].to_numpy()
     sets = [np.asarray(s).astype(np.int64) for s in frame["shingles"]]
     size = np.array([len(s) for s in sets])
-    sign = np.stack([np.frombuffer(s, np.uint16) for s in frame["sign"]])
+    sign = stacked(frame["sign"])
     crossing = bool(frame["i"].iloc[0] != frame["j"].iloc[0])
     side = frame["side"].to_numpy()
     radius = 2 * chunks_for(least) - 1
@@ -142,21 +246,13 @@ def grouped(docs: DataFrame, least: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = identified(docs)
-    rows = stage(texts.mapInPandas(signed, "no_id boolean, doc_id long, key long, n long, h1 long, h2 long, sign binary"))
+    rows = stage(texts.mapInPandas(signed, "no_id boolean, doc_id long, key long, n long, h1 long, h2 long, sign binary, bins binary"))
     nodes = stage(
         rows.where("n > 0").groupBy("h1", "h2", "n").agg(
-            F.min(F.struct(*ID)).alias("first"), F.first("sign").alias("sign"))
+            F.min(F.struct(*ID)).alias("first"), F.first("sign").alias("sign"), F.first("bins").alias("bins"))
         .withColumn("node", F.monotonically_increasing_id()))
 
-    chunks = chunks_for(least)
-
-    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return entries(frames, chunks)
-
-    index = nodes.select("node", "sign").mapInPandas(enter, "entry long, node long")
-    hubs = index.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    ties = stage(index.join(hubs, "entry").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    clusters = stage(components(ties))
+    clusters = stage(radius_clusters(nodes, least))
 
     members = clusters.join(nodes, "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
@@ -174,12 +270,7 @@ def grouped(docs: DataFrame, least: int) -> DataFrame:
 
     sets = fetched.select("node", "root", "sign", "blocks", "text").mapInPandas(
         with_sets, "node long, root long, sign binary, blocks int, shingles array<long>")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    task = F.when((F.col("i") == 0) & (F.col("j") == 0) & (F.col("blocks") == 1), F.pmod(F.xxhash64("root"), F.lit(shards)))
-    task = F.coalesce(task, F.xxhash64("root", "i", "j"))
-    spread = sets.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-        "i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).withColumn("task", task).select(
-        "task", "node", "root", "sign", "shingles", "side", "i", "j")
+    spread = blocked(sets, "root", shards).select("task", "node", "root", "sign", "shingles", "side", "i", "j")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         found = [e for _, part in frame.groupby(["root", "i", "j"], sort=False) for e in link_block(part, least)]
