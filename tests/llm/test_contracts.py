@@ -6,7 +6,6 @@ from collections import Counter
 
 import brute
 import numpy as np
-import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -191,55 +190,3 @@ def test_ids_decode_to_texts(spark):
 @pytest.mark.parametrize("text, letter", [("² ½ 12", False), ("①②", False), ("x²", True), ("_ 1 _", False), ("ß", True), ("词", True), ("", False), ("٣", False)])
 def test_letters(text, letter):
     assert langid.has_letter(text) is letter
-
-
-def sketched(spark, texts):
-    frame = pd.DataFrame({"no_id": False, "doc_id": range(len(texts)), "key": 0, "text": texts})
-    made = pd.concat(minhash.signed(iter([frame])))
-    return made, spark.createDataFrame(made[["doc_id", "n", "sign", "bins"]].rename(columns={"doc_id": "node"}))
-
-
-def test_pages_of_one_template_make_no_cluster(spark):
-    shared = " ".join(f"t{i}" for i in range(200))
-    texts = [f"{shared} " + " ".join(f"p{k}w{i}" for i in range(100)) for k in range(4000)]
-    _, nodes = sketched(spark, texts)
-    assert minhash.radius_clusters(nodes, 85).isEmpty()
-
-
-@pytest.mark.parametrize("block", [2048, 3])
-def test_clusters_are_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
-    rng = np.random.default_rng(5)
-    base = [f"w{i}" for i in range(120)]
-    texts, now = [], list(base)
-    for k in range(150):  # chains of small changes that begin anew, so that far ends meet by others only
-        now = list(base) if k % 30 == 0 else list(now)
-        for p in rng.choice(len(now), 1 + k % 3, replace=False):
-            now[p] = f"k{k}p{p}"
-        texts.append(" ".join(now))
-    made, nodes = sketched(spark, texts)
-    sign, bins, n = minhash.stacked(made["sign"]), minhash.stacked_bins(made["bins"]), made["n"].to_numpy()
-    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
-             if (sign[a] != sign[b]).sum() <= minhash.RADIUS and minhash.possible(n[a], n[b], bins[a], bins[b], 85)]
-    root = brute.roots(len(texts), links)
-    met = {x for pair in links for x in pair}
-    found = {r["node"]: r["root"] for r in minhash.radius_clusters(nodes, 85).collect()}
-    assert found.keys() == met
-    parts = {}
-    for node, r in found.items():
-        parts.setdefault(r, set()).add(root[node])
-    assert all(len(p) == 1 for p in parts.values()) and len(parts) == len({root[x] for x in met})
-
-
-def test_bins_never_rule_out_a_link():
-    rng = np.random.default_rng(6)
-    for size in (1, 5, 300, 90_000):
-        pool = rng.integers(0, 2**60, size + size // 6 + 1, dtype=np.uint64)
-        for _ in range(20):
-            sets = [np.unique(rng.choice(pool, size, replace=False)) for _ in range(2)]
-            common = len(np.intersect1d(*sets))
-            a, b = (np.minimum(np.bincount((s >> np.uint64(52)).astype(int), minlength=minhash.BINS), minhash.FULL).astype(np.uint8) for s in sets)
-            n, m = len(sets[0]), len(sets[1])
-            if 100 * common >= 85 * (n + m - common):
-                assert minhash.possible(n, m, a, b, 85)
-    assert not minhash.possible(10, 10, np.eye(1, 256, 3, np.uint8)[0] * 10, np.eye(1, 256, 4, np.uint8)[0] * 10, 85)
