@@ -5,7 +5,8 @@ close to a border go to both sides. Vectors are compared with those in their lea
 verified in double precision and joined to components. A pair that meets in several leaves is
 counted in the first of them, which both ends know from their lists of leaves. The margin follows
 from the distance at the least cosine where a leaf is narrow; leaves that are too dense to split are
-compared whole, block by block, each block with each.
+compared whole, block by block, each block with each. Vectors of other lengths than the commonest start in
+one leaf of each tree for each length, and are split like large leaves.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ DENSE = 0.7  # share of a leaf on one side from which on blocks, each with each,
 SPILL = 0.1  # standard deviations around a border within which a vector goes to both sides
 SAMPLE = 8192  # vectors that the first borders are taken from
 ROUNDS = 40
+OTHER = 1 << 62  # leaves that vectors of less common lengths start in are numbered from here
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -158,23 +160,27 @@ def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if not len(frame):
             continue
-        x, value = unit_rows(frame["embedding"].tolist()), np.zeros(len(frame))
+        value, dims = np.zeros(len(frame)), np.zeros(len(frame), np.int32)
         for leaf, at in frame.groupby("leaf").indices.items():
-            value[at] = x[at] @ direction(97, int(leaf), x.shape[1])
-        yield frame[["leaf", "node"]].assign(value=value)
+            x = unit_rows(frame["embedding"].iloc[at].tolist())
+            dims[at] = x.shape[1]
+            value[at] = x @ direction(97, int(leaf), x.shape[1])
+        yield frame[["leaf", "node"]].assign(value=value, dims=dims)
 
 
-def split_leaves(rows: DataFrame, dims: int, spill: float, least: float = 0.9) -> DataFrame:
+def split_leaves(rows: DataFrame, spill: float, least: float = 0.9) -> DataFrame:
     """Splits leaves of over ``MOST`` vectors until there are none, or those left are dense and stay whole."""
     done = None
     for again in range(ROUNDS):
         sizes = stage(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST))
         if sizes.isEmpty():
             break
-        large = stage(rows.join(sizes.select("leaf"), "leaf").select("leaf", "node", "embedding").mapInPandas(project, "leaf long, node long, value double"))
-        borders = large.groupBy("leaf").agg(F.percentile_approx("value", F.lit(0.5), F.lit(1000)).alias("border"), F.stddev_pop("value").alias("sd"))
+        large = stage(rows.join(sizes.select("leaf"), "leaf").select("leaf", "node", "embedding").mapInPandas(project, "leaf long, node long, value double, dims int"))
+        borders = large.groupBy("leaf").agg(
+            F.percentile_approx("value", F.lit(0.5), F.lit(1000)).alias("border"), F.stddev_pop("value").alias("sd"),
+            F.max("dims").alias("d")).withColumn("spread2", F.lit(pair_spread(1, least) ** 2) / F.col("d"))
         step = F.col("value") - F.col("border")
-        margin = F.greatest(F.lit(spill) * F.col("sd"), F.lit(0.45 * pair_spread(dims, least) ** 2) / F.col("sd"))  # as margin_of
+        margin = F.greatest(F.lit(spill) * F.col("sd"), F.lit(0.45) * F.col("spread2") / F.col("sd"))  # as margin_of
         margin = F.when(F.col("sd") > 0, margin).otherwise(float("inf"))
 
         def child(side: int) -> Column:  # compare_leaf takes leaves below 0 for none
@@ -205,21 +211,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
 
     Linked are vectors found together in a leaf with cosine ``least`` or more. Equal vectors are
     one node: they are linked with each other and never compared. Null, empty, zero vectors and
-    those with null or non-finite components link with nothing, as do vectors whose length differs from
-    the most frequent one's. A null vec_id counts after all others as smallest id. Other
-    columns are not read.
+    those with null or non-finite components link with nothing. Vectors of different lengths have no
+    cosine and are never linked; those of one length are, however rare it is. A null vec_id counts
+    after all others as smallest id. Other columns are not read.
     """
     valid = (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(
         "embedding", lambda v: v != 0)
     named = vectors.select(F.col("vec_id").alias("vec_id"), F.when(valid, F.col("embedding")).alias("embedding"))
-    common = named.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = common[0]["d"] if common else 1
-    named = named.withColumn("embedding", F.when(F.size("embedding") == dims, F.col("embedding")))
     nodes = stage(named.where("embedding is not null").groupBy("embedding").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    total = nodes.count()
+    common = nodes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dims, total = (common[0]["d"], common[0]["count"]) if common else (1, 0)
     depth = max(0, math.ceil(math.log2(max(1, min(total, SAMPLE * 32) / leaf))))
-    drawn = nodes.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
+    drawn = nodes.where(F.size("embedding") == dims).select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
     sample = unit_rows([r[0] for r in drawn]) if drawn else np.zeros((0, dims))
     model = nodes.sparkSession.sparkContext.broadcast(grow(sample, depth, trees_for(total, trees), spill, least))
 
@@ -227,15 +231,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
         for frame in frames:
             if not len(frame):
                 continue
-            x = unit_rows(frame["embedding"].tolist())
+            node, length = frame["node"].to_numpy(), frame["embedding"].map(len).to_numpy(dtype=np.int64)
+            own, other = length == dims, length != dims
+            x = unit_rows(frame["embedding"][own].tolist()) if own.any() else np.zeros((0, dims))
             for tree, levels in enumerate(model.value):
                 row, at = leaves(x, levels, tree)
-                yield pd.DataFrame({"node": frame["node"].to_numpy()[row], "leaf": (tree << 40) + at})
+                yield pd.DataFrame({"node": node[own][row], "leaf": (tree << 40) + at})
+                yield pd.DataFrame({"node": node[other], "leaf": OTHER + (tree << 40) + length[other]})
 
     placed = nodes.select("node", "embedding").mapInPandas(drop_down, "node long, leaf long")
     kind = dict(nodes.dtypes)["embedding"]
     rows = stage(placed.join(nodes.select("node", "embedding", "copies"), "node").select("node", "leaf", "embedding", "copies"))
-    rows = split_leaves(rows, dims, spill, least)
+    rows = split_leaves(rows, spill, least)
     lists = rows.groupBy("node").agg(F.collect_list("leaf").alias("all_leaves"))  # some dozens for each vector
     full = rows.join(lists, "node").select("leaf", "node", "copies", F.col("embedding").cast(kind), "all_leaves")
 

@@ -188,7 +188,7 @@ def leaf_rows(spark, vectors, leaves):
 def test_trees_split_large_leaves_in_different_ways(spark, monkeypatch):
     monkeypatch.setattr(forest, "MOST", 120)
     vectors = np.random.default_rng(9).normal(size=(200, 16))
-    split = forest.split_leaves(leaf_rows(spark, vectors, [1, 1 << 40]), 16, 0.0).toPandas()
+    split = forest.split_leaves(leaf_rows(spark, vectors, [1, 1 << 40]), 0.0).toPandas()
     parts = split.groupby("leaf")["node"].apply(frozenset)
     assert len(parts) == 4 and len(set(parts)) == 4 and (split["leaf"] >= 0).all()
 
@@ -196,7 +196,7 @@ def test_trees_split_large_leaves_in_different_ways(spark, monkeypatch):
 def test_large_leaves_keep_multiples_together(spark, monkeypatch):
     monkeypatch.setattr(forest, "MOST", 120)
     vectors = np.random.default_rng(10).normal(size=(100, 16))
-    split = forest.split_leaves(leaf_rows(spark, np.r_[vectors, vectors * 10], [1]), 16, 0.01).toPandas()
+    split = forest.split_leaves(leaf_rows(spark, np.r_[vectors, vectors * 10], [1]), 0.01).toPandas()
     leaves = split.groupby("node")["leaf"].apply(set)
     assert split["leaf"].nunique() == 2 and all(leaves[n] & leaves[100 + n] for n in range(100))
 
@@ -211,6 +211,26 @@ def test_links_of_a_dense_group(spark, monkeypatch):
     assert all(found[i] <= c for i, c in enumerate(count))
 
 
+@pytest.mark.parametrize("most", [2048, 30])
+def test_vectors_of_every_length_are_linked(spark, monkeypatch, most):
+    monkeypatch.setattr(forest, "MOST", most)
+    rng = np.random.default_rng(12)
+    rows = []
+    for length, pairs_of in ((16, 60), (9, 50), (3, 1)):
+        base = rng.normal(size=(pairs_of, length))
+        for v in base:
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (v * 2 + rng.normal(size=length) * 0.02).tolist())]
+    rows.append((len(rows), [1.0]))
+    found = {r["vec_id"]: r for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=16).collect()}
+    links = np.zeros(len(rows), int)
+    for length in (16, 9, 3):
+        for a, b in brute.vector_links([r for r in rows if len(r[1]) == length]):
+            first = next(i for i, v in rows if len(v) == length)
+            links[[first + a, first + b]] += 1
+    assert all(found[i]["n_links"] == c for i, c in enumerate(links)) and links[:-1].min() >= 1 and found[len(rows) - 1]["kept"]
+    assert all(found[i]["component_id"] <= i - i % 2 for i in range(len(rows) - 1))
+
+
 def test_pieces_equal_the_library(docs, odd):
     proto = queries.piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=proto)
