@@ -39,6 +39,7 @@ BASE = 0x0B5A9D3C71E24F86
 # a word's hash is the sum of these over its first bytes, by place and byte, and of mixed values over the rest
 PLACES = 32
 AT_PLACE = random_words(PLACES * 256, 2)
+STRETCH = 1 << 17  # bytes whose words are hashed at once
 
 
 def folded(x: np.ndarray) -> np.ndarray:
@@ -129,10 +130,22 @@ def all_stretches(sums: np.ndarray, length: int) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of each word: a sum over its bytes of values that have nothing to do with each other."""
+    """Hash of each word: a sum over its bytes of values that have nothing to do with each other.
+
+    The bytes are taken in stretches of whole words of about ``STRETCH`` bytes, so that what is held for each byte stays small.
+    """
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(last, first[at] + STRETCH, "right")))
+        lo, hi = int(first[at]), int(last[end - 1])
+        out[at:end] = _hashed_words(buf[lo:hi], first[at:end] - lo, last[at:end] - lo)
+        at = end
+    return out
+
+
+def _hashed_words(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     place = np.arange(len(buf), dtype=np.int64)
-    if not len(first):
-        return np.zeros(0, np.uint64)
     start = np.zeros(len(buf), np.int64)
     start[first] = first
     place -= np.maximum.accumulate(start)
