@@ -163,7 +163,8 @@ def create_datasets(
 def build_corpus(
     spark: SparkSession, raw: str, staged: str, out: str, save: str = "jsonl",
     mode: str = "errorifexists", sources: dict[str, tuple[str, ...]] | None = None, keyed: bool = False,
+    compression: str | None = None,
 ) -> None:
     """Raw files → staged rows → all datasets, exported in one job."""
     tables = corpus_tables(stage_sources(spark, raw, staged, save, mode), sources)
-    export_datasets(datasets_long(tables, keyed).drop("source"), out, save, mode)
+    export_datasets(datasets_long(tables, keyed).drop("source"), out, save, mode, compression)

@@ -207,7 +207,7 @@ def union_all_indexed(g: Given) -> DataFrame:
 @query
 def export_datasets_(g: Given) -> DataFrame:
     path = fresh_folder(g)
-    export_datasets(datasets_long(g).drop("source"), path)
+    export_datasets(datasets_long(g).drop("source"), path, compression="gzip")
     return g.spark.read.schema("idx LONG, text STRING, dataset STRING").json(path).select("dataset", "idx", "text")
 
 

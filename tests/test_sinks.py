@@ -3,7 +3,8 @@ import os
 import pytest
 
 from sqlcorpus.operators.evaluate import same_result
-from sqlcorpus.sinks.files import write_csv, write_jsonl, write_routed, write_rows
+from sqlcorpus.plans.queries import queries
+from sqlcorpus.sinks.files import export_datasets, write_csv, write_jsonl, write_routed, write_rows
 from sqlcorpus.sinks.tables import create_table, export_tables, replace_table
 from sqlcorpus.sources.files import read_csv, read_jsonl
 
@@ -27,6 +28,41 @@ def test_jsonl_round_trip_is_exact_and_writes_nulls(spark, tmp_path):
     assert '"a":null' in text
 
 
+def written(folder):
+    """Names and total size of the data files below a folder."""
+    found = [os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f.startswith("part-")]
+    return [os.path.basename(f) for f in found], sum(map(os.path.getsize, found))
+
+
+def test_exports_under_a_codec_hold_the_same_rows_in_fewer_bytes(spark, tmp_path):
+    texts = [*NASTY, *[(f"prompt {k} of the same words and a few more of them", None if k % 7 else f"line\n{k}") for k in range(2000)]]
+    long = spark.createDataFrame([(f"d{k % 2}", k, q, a) for k, (q, a) in enumerate(texts)], "dataset string, idx long, q string, a string")
+    for save in ("jsonl", "csv"):
+        plain, packed = str(tmp_path / save), str(tmp_path / f"{save}-packed")
+        export_datasets(long, plain, save)
+        export_datasets(long, packed, save, compression="gzip")
+        names, size = written(packed)
+        assert names and all(n.endswith(".gz") for n in names) and size < written(plain)[1] / 2
+        assert not any(n.endswith(".gz") for n in written(plain)[0])
+        assert sorted(d for d in os.listdir(packed) if "=" in d) == ["dataset=d0", "dataset=d1"]
+        if save == "jsonl":
+            back = spark.read.schema("idx LONG, q STRING, a STRING, dataset STRING").json(packed).select(*long.columns)
+            assert same_result(long, back)
+
+
+def test_the_export_of_all_datasets_is_packed(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a")],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "words of a text " * 200, "en", "src1")],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "t")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = queries()["export_datasets"](spark, str(tmp_path))
+    names = [os.path.basename(f) for f in out.inputFiles()]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    # six prompts of either generation row, one of either instruct row, and a system prompt
+    assert out.count() == 2 * 6 + 2 + 1
+
+
 def test_modes(spark, tmp_path):
     write_rows(nasty(spark), str(tmp_path / "x"), "jsonl")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
