@@ -16,19 +16,21 @@ from sqlcorpus.operators.consolidate import from_source, index_in_file_order, of
 from sqlcorpus.operators.normalize import normalize, with_kind
 from sqlcorpus.plans import corpus, golden, training
 from sqlcorpus.plans.raw_folder import file_of, fresh_folder, shown, write_raw
-from sqlcorpus.plans.templates import DATASETS, TEMPLATES, dataset, datasets_long
+from sqlcorpus.plans.templates import DATASETS, PART, TEMPLATES, dataset, datasets_long
 from sqlcorpus.plans.views import Given, moment, pair_key
 from sqlcorpus.schemas import (
     ALL_TABLE, CSV_NA_TOKENS, DATASET_PREFIX, GENERATION, GENERATION_TABLE, INSTRUCT_TABLE, LOSS_SUFFIX,
 )
-from sqlcorpus.sinks.files import export_datasets, name_files, write_csv, write_json_arrays, write_jsonl, write_routed
+from sqlcorpus.sinks.files import (
+    Buckets, bucket_count, export_datasets, name_files, write_csv, write_json_arrays, write_jsonl, write_routed,
+)
 from sqlcorpus.sinks.tables import create_table, open_store
 from sqlcorpus.sources import catalog
 from sqlcorpus.sources.files import read_csv, read_json, read_jsonl
 from sqlcorpus.sources.discover import discover_sources
 from sqlcorpus.sources.large_csv import read_large_csv
 from sqlcorpus.sources.runs import curve_source as read_curves, read_run_records
-from sqlcorpus.sources.tables import list_datasets as stored_datasets, load_dataset_by_name, scan_table, table_in
+from sqlcorpus.sources.tables import key_by_key, list_datasets as stored_datasets, load_dataset_by_name, scan_table, table_in
 
 Query = Callable[[Given], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,9 +208,10 @@ def union_all_indexed(g: Given) -> DataFrame:
 
 @query
 def export_datasets_(g: Given) -> DataFrame:
-    path = fresh_folder(g)
-    export_datasets(datasets_long(g).drop("source"), path, compression="gzip")
-    return g.spark.read.schema("idx LONG, text STRING, dataset STRING").json(path).select("dataset", "idx", "text")
+    """All datasets as files, read again with the prompts of a row next to each other: whoever packs them finds the text that they share."""
+    buckets = Buckets(table_in(store(g), "exported"), PART, bucket_count(g.text_bytes() * len(DATASETS)))
+    export_datasets(datasets_long(g, parted=True).drop("source"), fresh_folder(g), compression="gzip", buckets=buckets)
+    return key_by_key(scan_table(g.spark, buckets.table), [PART, "idx"], "dataset").select("dataset", "idx", "text")
 
 
 # --- normalisers ----------------------------------------------------------------

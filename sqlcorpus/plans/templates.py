@@ -86,6 +86,9 @@ DATASETS = tuple(sorted(DISPLAY_NAMES.values()))
 
 # Name of a rendered row's key: class of rows, number of the template in its dataset, index of the row.
 ROW_KEY = "row_key"
+# Name of the number that the prompts of a row share with those of some more rows of its task, at most two to the power of PART_BITS.
+PART = "part"
+PART_BITS = 11
 
 
 class RenderSource(Protocol):
@@ -124,19 +127,21 @@ def dataset(name: str, tables: RenderSource, keyed: bool = False) -> DataFrame:
         templates = [t for t in TEMPLATES if t.dataset == name and t.rows == kind]
         if templates:
             keep = [tables.index] if index else []
-            branches.append(_render(tables.rows(kind), templates, tables, kind, keep, keyed).drop("dataset"))
+            branches.append(_render(tables.rows(kind), templates, tables, kind, keep, keyed, False).drop("dataset"))
     if not branches:
         raise KeyError(f"no dataset named {name!r}")
     return unite(branches)
 
 
 def _render(
-    rows: DataFrame, templates: list[Template], tables: RenderSource, kind: str, keep: list[str], keyed: bool
+    rows: DataFrame, templates: list[Template], tables: RenderSource, kind: str, keep: list[str], keyed: bool, parted: bool
 ) -> DataFrame:
     """Every given template over one scan of the class."""
     named = sorted({s for t in templates if t.sources for s in tables.sources[t.sources]})
     if named:
         rows = rows.filter(source_in(*named))
+    if parted:
+        rows, keep = rows.withColumn(PART, F.shiftright(F.monotonically_increasing_id(), PART_BITS)), [*keep, PART]
 
     def key(template: Template) -> list[Column]:
         return [_row_key(template, kind, tables.index).alias(ROW_KEY)] if keyed else []
@@ -155,10 +160,10 @@ def _render(
     return rows.select(*keep, F.explode(made).alias("_made")).select("_made.dataset", *keys, *keep, "_made.text")
 
 
-def datasets_long(tables: RenderSource, keyed: bool = False) -> DataFrame:
-    """All datasets as (dataset, index, source, text), each class scanned once; ``keyed`` adds ``row_key``."""
+def datasets_long(tables: RenderSource, keyed: bool = False, parted: bool = False) -> DataFrame:
+    """All datasets as (dataset, index, source, text), each class scanned once; ``keyed`` adds ``row_key``, ``parted`` adds ``part``."""
     return unite([
         _render(tables.rows(kind), [t for t in TEMPLATES if t.rows == kind], tables, kind,
-                [tables.index, "source"] if index else [], keyed)
+                [tables.index, "source"] if index else [], keyed, parted)
         for kind, index in ROW_KINDS.items()
     ])

@@ -125,6 +125,16 @@ class Given:
         from_documents = position(documents, ["source"], F.col("doc_id"), ["doc_id"], "idx", base=bases)
         return unite([from_pairs, from_documents.drop("doc_id")]).select("idx", *INS)
 
+    def text_bytes(self) -> int:
+        """Bytes of the texts that prompts quote; a system text counts once for each user turn."""
+        size = F.octet_length("text").cast("long")
+        talks = self.table("conversations").groupBy("conv_id").agg(
+            F.sum(size).alias("size"), F.sum(F.when(F.col("role") == "system", size)).alias("system"),
+            F.count(F.when(F.col("role") == "user", 1)).alias("asks"),
+        ).select((F.col("size") + F.coalesce("system", F.lit(0)) * F.col("asks")).alias("size"))
+        texts = unite([talks, *(self.table(name).select(size.alias("size")) for name in ("documents", "benchmark"))])
+        return texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one row
+
     def rows(self, kind: str) -> DataFrame:
         """The table a template reads."""
         if kind == SYSTEM_PROMPT:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 # Rows per output file: keeps files of long texts readable and restartable.
 MAX_RECORDS = 5_000_000
@@ -10,6 +12,23 @@ MAX_RECORDS = 5_000_000
 GZIP_LEVEL = "FOUR"
 DATASET_COLUMN = "dataset"
 ROUTE = ("class", "folder", "source")
+# Bytes of rows in a bucket, on average: one task sorts them in memory.
+BUCKET_BYTES = 64 << 20
+MOST_BUCKETS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """A table over the files of one write, in which ``count`` buckets hold the rows by ``key``."""
+
+    table: str
+    key: str
+    count: int
+
+
+def bucket_count(size: int) -> int:
+    """Buckets for so many bytes of rows."""
+    return min(1 + size // BUCKET_BYTES, MOST_BUCKETS)
 
 
 def _writer(df: DataFrame, mode: str, partitions: tuple[str, ...], compression: str | None = None):
@@ -21,20 +40,28 @@ def _writer(df: DataFrame, mode: str, partitions: tuple[str, ...], compression:
     return writer.partitionBy(*partitions) if partitions else writer
 
 
+def _save(writer: DataFrameWriter, path: str, buckets: Buckets | None) -> None:
+    """Spark keeps buckets for tables only, here for one over files at ``path``."""
+    if buckets:
+        writer.bucketBy(buckets.count, buckets.key).option("path", path).saveAsTable(buckets.table)
+    else:
+        writer.save(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partitions: tuple[str, ...] = (),
-              compression: str | None = None) -> None:
+              compression: str | None = None, buckets: Buckets | None = None) -> None:
     """CSV with a header row."""
-    (
+    _save(
         _writer(df, mode, partitions, compression).option("header", True)
         .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).csv(path)
+        .option("ignoreTrailingWhiteSpace", False).format("csv"), path, buckets
     )
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partitions: tuple[str, ...] = (),
-                compression: str | None = None) -> None:
+                compression: str | None = None, buckets: Buckets | None = None) -> None:
     """One record per line; an absent value is written as an explicit null."""
-    _writer(df, mode, partitions, compression).option("ignoreNullFields", False).json(path)
+    _save(_writer(df, mode, partitions, compression).option("ignoreNullFields", False).format("json"), path, buckets)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partitions: tuple[str, ...] = ()) -> None:
@@ -59,10 +86,10 @@ FORMATS = {"csv": write_csv, "jsonl": write_jsonl}
 
 
 def write_rows(df: DataFrame, path: str, save: str, mode: str = "errorifexists",
-               partitions: tuple[str, ...] = (), compression: str | None = None) -> None:
+               partitions: tuple[str, ...] = (), compression: str | None = None, buckets: Buckets | None = None) -> None:
     if save not in FORMATS:
         raise ValueError(f"{save!r} is none of {sorted(FORMATS)}")
-    FORMATS[save](df, path, mode, partitions, compression)
+    FORMATS[save](df, path, mode, partitions, compression, buckets)
 
 
 def write_routed(df: DataFrame, path: str, mode: str = "errorifexists", save: str = "parquet") -> None:
@@ -79,13 +106,15 @@ def write_routed(df: DataFrame, path: str, mode: str = "errorifexists", save: st
 
 
 def export_datasets(long: DataFrame, path: str, save: str = "jsonl", mode: str = "errorifexists",
-                    compression: str | None = None) -> None:
+                    compression: str | None = None, buckets: Buckets | None = None) -> None:
     """Every dataset of a (dataset, …) table in a single job, one folder per dataset.
 
     The export holds each text once per prompt that quotes it. ``compression`` is Spark's name of a codec for the
-    lines (``gzip``, which other programs read too); without one they are written as they are.
+    lines (``gzip``, which other programs read too); without one they are written as they are. With ``buckets`` the
+    files are also a table, from which one task can read the prompts of a key in all folders. The key should be one
+    of which a task has few, as ``part`` is: each task writes a file for every bucket and dataset that it has rows of.
     """
-    write_rows(long, path, save, mode, (DATASET_COLUMN,), compression)
+    write_rows(long, path, save, mode, (DATASET_COLUMN,), compression, buckets)
 
 
 def name_files(spark: SparkSession, written: str, folder: str, name: str) -> list[str]:

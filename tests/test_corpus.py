@@ -4,11 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sqlcorpus.operators.consolidate import index_in_file_order
 from sqlcorpus.operators.evaluate import same_result
 from sqlcorpus.plans import corpus
-from sqlcorpus.plans.templates import DATASETS, dataset, datasets_long
+from sqlcorpus.plans.templates import DATASETS, PART, PART_BITS, TEMPLATES, dataset, datasets_long
 from sqlcorpus.sinks.files import export_datasets
 from sqlcorpus.sources.discover import Shape, discover_sources, files_by_folder, group_by_shape
 from sqlcorpus.sources.tables import list_datasets, load_dataset_by_name, scan_table
@@ -132,6 +133,28 @@ def test_datasets_and_export(spark, staged, tmp_path, rows):
     assert rows(back, "dataset", "index", "text") == rows(long, "dataset", "index", "text")
 
 
+def test_prompts_of_a_row_share_a_part(spark, staged, rows):
+    tables = corpus.corpus_tables(staged, SOURCES)
+    parted = datasets_long(tables, parted=True)
+    assert rows(parted.drop(PART)) == rows(datasets_long(tables))
+    assert parted.filter(F.col(PART).isNull()).count() == 0
+    generation = parted.filter(F.col("dataset").isin("chatbot", "translation", "text_generation")).groupBy("index").agg(F.count_distinct(PART).alias("n"))
+    assert {row["n"] for row in generation.collect()} == {1}
+
+
+def test_parts_are_small(spark):
+    class Many:
+        index, sources = "idx", {}
+
+        def rows(self, kind):
+            made = spark.range(0, 3 << PART_BITS, 1, 1).select(F.col("id").alias("idx"), F.lit("documents").alias("source"))
+            return made.select("*", *(F.lit("t").alias(c) for c in ("question", "context", "answer", "text", "input", "output")))
+
+    Many.sources = {t.sources: ("none",) for t in TEMPLATES if t.sources}
+    chat = datasets_long(Many(), parted=True).filter("dataset = 'chatbot'").groupBy(PART).count().collect()
+    assert sorted((row[PART], row["count"]) for row in chat) == [(k, 1 << PART_BITS) for k in range(3)]
+
+
 def test_stored_tables(spark, staged):
     tables = corpus.corpus_tables(staged, SOURCES)
     corpus.store_tables(staged, tables)

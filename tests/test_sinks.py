@@ -1,12 +1,18 @@
 import os
+import random
+from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from sqlcorpus.operators.evaluate import same_result
 from sqlcorpus.plans.queries import queries
-from sqlcorpus.sinks.files import export_datasets, write_csv, write_jsonl, write_routed, write_rows
-from sqlcorpus.sinks.tables import create_table, export_tables, replace_table
+from sqlcorpus.sinks.files import (
+    BUCKET_BYTES, MOST_BUCKETS, Buckets, bucket_count, export_datasets, write_csv, write_jsonl, write_routed, write_rows,
+)
+from sqlcorpus.sinks.tables import create_table, export_tables, open_store, replace_table
 from sqlcorpus.sources.files import read_csv, read_jsonl
+from sqlcorpus.sources.tables import key_by_key, table_in
 
 NASTY = [("a \"b\", 'c'", "line1\nline2\\"), ("  edge ", "NULL"), ("ü###", None)]
 
@@ -63,6 +69,55 @@ def test_the_export_of_all_datasets_is_packed(spark, tmp_path):
     assert out.count() == 2 * 6 + 2 + 1
 
 
+def runs_of(values):
+    """Values without immediate repeats."""
+    return [value for value, _ in groupby(values)]
+
+
+def test_an_export_in_buckets_is_read_key_by_key_without_a_shuffle(spark, tmp_path):
+    long = spark.createDataFrame([(f"d{k}", idx // 50, idx, f"prompt {k} of\n\"{idx}\"") for idx in range(300) for k in range(3)],
+                                 "dataset string, part long, idx long, text string")
+    database = open_store(spark, "buckets_of_exports", str(tmp_path / "store"))
+    for save in ("jsonl", "csv"):
+        buckets, path = Buckets(table_in(database, save), "part", 5), str(tmp_path / save)
+        # quotes and line ends are the reader's matter in csv
+        rows = long if save == "jsonl" else long.withColumn("text", F.translate("text", '\n"', "  "))
+        export_datasets(rows.repartition(5, "part"), path, save, compression="gzip", buckets=buckets)
+        assert sorted(d for d in os.listdir(path) if "=" in d) == ["dataset=d0", "dataset=d1", "dataset=d2"]
+        assert len(written(path)[0]) <= 3 * 5
+        back = key_by_key(spark.table(buckets.table), ["part", "idx"], "dataset").select(*long.columns)
+        assert same_result(rows, back)
+        assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+        found = [row["idx"] for row in back.collect()]
+        assert sorted(runs_of(found)) == list(range(300))
+    # other readers take the files as they are
+    plain = spark.read.schema("part LONG, idx LONG, text STRING, dataset STRING").json(str(tmp_path / "jsonl")).select(*long.columns)
+    assert same_result(long, plain)
+
+
+def test_buckets_grow_in_number_with_the_rows():
+    assert [bucket_count(size) for size in (0, BUCKET_BYTES - 1, BUCKET_BYTES, 100 * BUCKET_BYTES)] == [1, 1, 2, 101]
+    assert bucket_count(BUCKET_BYTES * 10**9) == MOST_BUCKETS
+
+
+def test_prompts_of_one_text_lie_together_where_the_export_is_read(spark, tmp_path):
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(words, k=300)) for _ in range(400)]
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, text, "en", f"src{k % 4}") for k, text in enumerate(texts)],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"t{k}") for k in range(9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = queries()["export_datasets"](spark, str(tmp_path))
+    found = [row["idx"] for row in out.collect()]
+    # six prompts of each text, one more of texts of two of the four sources
+    assert found.count(None) == 9 and len(found) == 9 + 6 * 400 + 200
+    assert sorted(runs_of(idx for idx in found if idx is not None)) == list(range(400))
+    out.write.parquet(str(tmp_path / "saved"))
+    out.sort("dataset", "idx").write.parquet(str(tmp_path / "apart"))
+    assert written(str(tmp_path / "saved"))[1] < written(str(tmp_path / "apart"))[1] / 2
+
+
 def test_modes(spark, tmp_path):
     write_rows(nasty(spark), str(tmp_path / "x"), "jsonl")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
